@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import aggregates, coverage, extraction, jobs, quality, scalars, streams
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "coverage", "extraction", "jobs", "quality", "scalars", "streams"]
