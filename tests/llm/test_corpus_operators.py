@@ -209,7 +209,7 @@ def test_banded_distance(spark):
         b = "".join(b)
         if b and abs(len(a) - len(b)) <= 2:
             pairs.append((a, b))
-    df = spark.createDataFrame(pairs, "a string, b string").withColumn("ok", line_dedup.within(F.split("a", ""), F.split("b", ""), 2))
+    df = spark.createDataFrame(pairs, "a string, b string").withColumn("ok", line_dedup.within(F.col("a"), F.col("b"), 2))
     for r in df.collect():
         assert r["ok"] == (distance(r["a"], r["b"]) <= 2), r
 

@@ -18,7 +18,7 @@ length, tau edits leave one of them whole, and it stands in the other line not f
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,73 +26,95 @@ from pyspark.sql import functions as F
 from .common import components, small, written
 
 
-def segment(n: Column, parts: int, i: int) -> tuple[Column, Column]:
+def segment(n: Column, parts: int, i: Column) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i (from 1) of a text of n characters cut into parts; later ones are longer."""
     base, shorter = F.floor(n / parts).cast("int"), F.lit(parts) - n % parts
-    return 1 + (i - 1) * base + F.greatest(F.lit(0), F.lit(i - 1) - shorter), base + F.when(shorter < i, 1).otherwise(0)
+    return 1 + (i - 1) * base + F.greatest(F.lit(0), i - 1 - shorter), base + F.when(shorter < i, 1).otherwise(0)
+
+
+def _choices(rows: list[tuple[int, ...]], names: list[str]) -> Column:
+    """The rows as an array of structs: one small constant, over which each line's keys are made by one expression."""
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows])
+
+
+def _key(line: Column, n: Column, m: Column, parts: int, cut: list[tuple[Column, Column]]) -> Column:
+    """Hash of (length m, for each (segment, shift): segment number and the substring of the line that faces it); null if
+    one doesn't fit."""
+    pieces, fits = [m], F.lit(True)
+    for i, shift in cut:
+        a, size = segment(m, parts, i)
+        pieces += [i, line.substr(a + shift, size)]
+        fits = fits & (a + shift >= 1) & (a + shift + size - 1 <= n)
+    return F.when(fits, F.xxhash64(*pieces))
 
 
 def index_keys(line: Column, n: Column, parts: int, matches: int) -> Column:
     """A hash for each choice of `matches` segments of the line."""
-    keys = []
-    for choice in combinations(range(1, parts + 1), matches):
-        cut = [segment(n, parts, i) for i in choice]
-        keys.append(F.xxhash64(n, *[F.lit(i) for i in choice], *[line.substr(a, b) for a, b in cut]))
-    return F.array(*keys)
+    names, rows = [f"i{k}" for k in range(matches)], list(combinations(range(1, parts + 1), matches))
+    return F.transform(_choices(rows, names), lambda x: _key(line, n, n, parts, [(x[i], F.lit(0)) for i in names]))
 
 
-def probe_keys(line: Column, n: Column, tau: int, parts: int, matches: int) -> Column:
-    """Hashes of the substrings, or choices of them, that can face segments of a line that is up to tau shorter."""
-    keys = []
+def probes(tau: int, parts: int, matches: int) -> list[tuple[int, ...]]:
+    """(how much shorter the other line is, then segment and shift of each chosen segment) of all that must be probed."""
+    rows = []
     for less in range(tau + 1):
-        m = n - less
         spots = {}
         for i in range(1, parts + 1):
-            # with more parts than tau + 1 the bounds on either side are the edits there can be at most
             if matches == 1:
-                spots[i] = range(max(1 - i, less - (parts - i)), min(i - 1, less + parts - i) + 1)
+                spots[i] = list(range(max(1 - i, less - (parts - i)), min(i - 1, less + parts - i) + 1))
             else:  # any whole segment: the edits before it and those after it are tau together at most
                 spots[i] = [k for k in range(-tau, tau + 1) if abs(k) + abs(less - k) <= tau]
         for choice in combinations(range(1, parts + 1), matches):
-            shifts = [()]
-            for i in choice:
-                shifts = [(*s, k) for s in shifts for k in spots[i]]
-            for shift in shifts:
-                if any(abs(b - a) > tau for a, b in zip(shift, shift[1:])):
-                    continue
-                pieces = []
-                fits = F.lit(True)
-                for i, k in zip(choice, shift, strict=True):
-                    a, b = segment(m, parts, i)
-                    pieces.append(line.substr(a + k, b))
-                    fits = fits & (a + k >= 1) & (a + k + b - 1 <= n)
-                keys.append(F.when(fits, F.xxhash64(m, *[F.lit(i) for i in choice], *pieces)))
-    return F.filter(F.array(*keys), lambda x: x.isNotNull())
+            for shifts in product(*(spots[i] for i in choice)):
+                # edits before the first, between neighbours and after the last are tau together at most
+                if matches == 1 or abs(shifts[0]) + sum(abs(b - a) for a, b in zip(shifts, shifts[1:])) + abs(less - shifts[-1]) <= tau:
+                    rows.append((less, *(v for pair in zip(choice, shifts, strict=True) for v in pair)))
+    return rows
+
+
+def probe_keys(line: Column, n: Column, tau: int, parts: int, matches: int) -> Column:
+    """Hashes of the substrings, or choices of them, that can face segments of a line that is up to tau shorter."""
+    names = ["less", *(f"{c}{k}" for k in range(matches) for c in "is")]
+    keys = F.transform(_choices(probes(tau, parts, matches), names), lambda x: _key(line, n, n - x["less"], parts, [(x[f"i{k}"], x[f"s{k}"]) for k in range(matches)]))
+    return F.filter(keys, lambda x: x.isNotNull())
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def within(a: Column, b: Column, tau: int) -> Column:
-    """Whether the edit distance of a and b, arrays of characters whose lengths differ by at most tau, is at most tau."""
+    """Whether the edit distance of two texts, whose lengths differ by at most tau, is at most tau."""
+    return _let(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), lambda p: _within(p["a"], p["b"], tau))
+
+
+def _within(a: Column, b: Column, tau: int) -> Column:
+    """The automaton on arrays of characters. Its rows lie side by side in one number; bit k of row d after j characters of b
+    says that the first j + k - tau characters of a are within d edits of them."""
     width = 2 * tau + 1
     full = (1 << width) - 1
     start = 0
     for d in range(tau + 1):
         start |= sum(1 << k for k in range(tau, min(width, tau + d + 1))) << (d * width)
 
+    def row(state: Column, d: int) -> Column:
+        return F.shiftrightunsigned(state, d * width).bitwiseAND(F.lit(full).cast("long"))
+
     def step(state: Column, j: Column) -> Column:
         same = sum((F.when(F.get(a, j + (k - tau)) == F.get(b, j), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(width)), F.lit(0)).cast("long")
-        rows, above = [], None
-        for d in range(tau + 1):
-            old = F.shiftrightunsigned(state, d * width).bitwiseAND(F.lit(full).cast("long"))
-            new = old.bitwiseAND(same)
-            if above is not None:
-                before, now = above
+
+        def below(done: Column, d: int, same: Column) -> Column:
+            """Rows 0..d-1 are done; adds row d, and so on."""
+            if d > tau:
+                return done
+            new = row(state, d).bitwiseAND(same)
+            if d:
+                before, now = row(state, d - 1), row(done, d - 1)
                 new = new.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(now, 1)).bitwiseAND(F.lit(full).cast("long"))
-            above = (old, new)
-            rows.append(F.shiftleft(new, d * width))
-        out = rows[0]
-        for r in rows[1:]:
-            out = out.bitwiseOR(r)
-        return out
+            return _let(done.bitwiseOR(F.shiftleft(new, d * width)), lambda x: below(x, d + 1, same))
+
+        return _let(same, lambda same: below(F.lit(0).cast("long"), 0, same))
 
     last = F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.lit(start).cast("long"), step)
     accepting = F.pow(F.lit(2), F.size(a) - F.size(b) + tau).cast("long")
@@ -139,7 +161,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = small(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "line-candidates")
     texts = written(long.join(wanted, "id", "left_semi").select("id", "line").dropDuplicates(["id"]), "line-texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    both = both.where(F.abs(F.char_length("x") - F.char_length("y")) <= tau).select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y"))
+    both = both.where(F.abs(F.char_length("x") - F.char_length("y")) <= tau)
     links = written(both.where(within(F.col("x"), F.col("y"), tau)).select("a", "b"), "line-links")
     classes = components(links.select("a", "b"))
     return places, classes.select(F.col("node").alias("id"), F.col("component").alias("class"))
