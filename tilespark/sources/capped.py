@@ -33,11 +33,11 @@ class CappedReader(DataSourceReader):
         import pyarrow.compute as pc
         import pyarrow.dataset as ds
 
-        table = ds.dataset(self.path)
-        key = table.schema.names[0]
-        days = pc.strftime(pc.cast(pc.field(self.day), "timestamp[us]"), format="%Y-%m-%d")
-        found = table.to_table(columns={"key": pc.field(key), "day": days}).sort_by("key")
-        inside = found.filter((pc.field("day") >= partition.ini) & (pc.field("day") <= partition.fim))
+        data = ds.dataset(self.path)
+        key = data.schema.names[0]
+        rows = data.to_table(columns=[key, self.day]).rename_columns(["key", "day"])
+        rows = rows.set_column(1, "day", pc.strftime(rows["day"], format="%Y-%m-%d")).sort_by("key")
+        inside = rows.filter(pc.and_(pc.greater_equal(rows["day"], partition.ini), pc.less_equal(rows["day"], partition.fim)))
         truncated = inside.num_rows >= self.cap
         for key, day in zip(*(inside.slice(0, self.cap).column(c).to_pylist() for c in ("key", "day")), strict=True):
             yield partition.ini, partition.fim, str(key), day, truncated
