@@ -3,9 +3,10 @@
 A byte-level BPE file splits a text into pieces before it merges bytes; no piece holds a white-space character that
 follows another character, except pieces of white space only. So wherever a single space stands between two
 characters that are no white space, the piece before ends and a new piece begins with that space, whatever stands
-further left or right. Such places are stable boundaries: tokens on either side don't depend on the other side.
-Texts are cut there into fields, each distinct field is encoded by the tokenizer once, and its tokens are looked up
-from then on. Texts with other arrangements of white space or with special strings go to the tokenizer whole.
+further left or right; and a single line end there is a piece of its own. Such places are stable boundaries: tokens on
+either side don't depend on the other side. Texts are cut there into fields, each distinct piece of a field is merged
+by the tokenizer's model once, and tokens are looked up from then on. Texts with other arrangements of white space or
+with special strings go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -14,9 +15,15 @@ import os
 import struct
 
 import numpy as np
+import regex
 
-#: Entries of the field cache of a Python worker; a full cache is emptied. It bounds memory and changes no result.
-CACHE_FIELDS = 300_000
+#: Entries of each cache of a Python worker; a full one is emptied. It bounds memory and changes no result.
+CACHE_FIELDS = 250_000
+#: How byte-level files split a text into pieces. Letters and digits of the Latin blocks only are split by it here, as
+#: libraries agree on their classes; other fields go to the tokenizer as they are.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+LATIN_END = "\u0250"
+MARKS = ".,;:!?"
 
 
 class _Fields(dict):
@@ -28,7 +35,7 @@ class _Fields(dict):
         self.encode, self.lead, self.pack = encode, lead, pack
 
     def __missing__(self, field):
-        value = None if not field or field[0].isspace() or field[-1].isspace() else self.pack(self.encode(self.lead + field))
+        value = None if not field or field[0].isspace() or field[-1].isspace() else self.pack(self.encode(self.lead, field))
         if len(self) >= CACHE_FIELDS:
             self.clear()
         self[field] = value
@@ -43,8 +50,34 @@ class ByteBpe:
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.counts = [_Fields(self._ids, lead, len) for lead in ("", " ")]
-        self.packed = [_Fields(self._ids, lead, lambda ids: struct.pack(f"<{len(ids)}I", *ids)) for lead in ("", " ")]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        self.pieces: dict[str, bytes] = {}
+        line_end = self._piece("\n")
+        self.counts = [*(_Fields(self._field, lead, lambda ids: len(ids) // 4) for lead in ("", " ")), len(line_end) // 4]
+        self.packed = [*(_Fields(self._field, lead, bytes) for lead in ("", " ")), line_end]
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= CACHE_FIELDS:
+                self.pieces.clear()
+            # the model reads bytes as letters: printable Latin-1 as itself, other bytes in turn from U+0100
+            spelled = piece.translate(self.letters) if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+            ids = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return ids
+
+    def _field(self, lead: str, field: str) -> bytes:
+        """The ids of a field after its leading space, if any: those of its pieces, each merged by the model once."""
+        if not field.isascii() and max(field) >= LATIN_END:
+            return np.asarray(self._ids(lead + field), dtype="<u4").tobytes()
+        # a word, or a word and one mark, is known to be one piece or two
+        if field.isalpha():
+            return self._piece(lead + field)
+        if field[-1] in MARKS and field[:-1].isalpha():
+            return self._piece(lead + field[:-1]) + self._piece(field[-1])
+        return b"".join(map(self._piece, PIECES.findall(lead + field)))
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -53,9 +86,14 @@ class ByteBpe:
         """The values of the text's fields, or None if it can't be cut into fields."""
         if not text or any(s in text for s in self.special):
             return None
-        first, *rest = text.split(" ")
-        values = [caches[0][first]]
-        values += map(caches[1].__getitem__, rest)
+        values = []
+        # a line end between other characters is a piece of its own, and a new piece begins after it
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            values.append(caches[0][first])
+            values += map(caches[1].__getitem__, rest)
+            values.append(caches[2])
+        values.pop()
         return None if None in values else values
 
     def count(self, text: str) -> int:
@@ -89,7 +127,7 @@ class Agreeing:
 
             processor = sentencepiece.SentencePieceProcessor(model_file=path)
             self.ids = lambda text: processor.encode(text, num_threads=1)
-            self._spans = lambda text: [(p.id, p.end) for p in processor.encode(text, out_type="immutable_proto").pieces]
+            self._spans = lambda text: (lambda m: list(zip(m["ids"], (b for _, b in m["offsets"]), strict=True)))(processor.encode(text, return_type="offset_mapping", num_threads=1))
         else:
             tokenizer = _tokenizer(path)
             self.ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
