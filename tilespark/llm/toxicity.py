@@ -101,7 +101,7 @@ def _term_counts(min_stem: int, max_stem: int):
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 counts[y].update(terms(text or "", min_stem, max_stem))
                 counts[y][None] += 1
-            if len(counts[0]) + len(counts[1]) > 1_000_000:
+            if len(counts[0]) + len(counts[1]) > 200_000:
                 yield _count_rows(counts)
                 counts = [Counter(), Counter()]
         yield _count_rows(counts)
@@ -116,16 +116,22 @@ def _count_rows(counts):
     )
 
 
-def choose(rows: list[tuple[str, int, int]], toxic: int, clean: int, max_terms: int) -> dict[str, float]:
-    """Weights from (term, toxic texts, clean texts). Shorter stems first; a term that is within a chosen stem is
-    chosen only if its log odds are higher by one half or more."""
+def choose(rows: list[tuple[str, int, int]], toxic: int, clean: int, max_terms: int, least: int) -> dict[str, float]:
+    """Weights from (term, toxic texts, clean texts). Of nested stems and words that nearly the same toxic texts hold the
+    longest is taken. Of the others a longer one is taken beside a shorter only if its log odds are higher by one half
+    or more. Terms of few texts, as a family of copies may give, weigh less."""
     odds = {t: math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1)) for t, a, b in rows}
+    count = {t: a for t, a, _ in rows}
+    within: dict[str, int] = {}
+    for term, a in count.items():
+        for n in range(1, len(term.rstrip(" ")) + (term[-1] == " ")):
+            within[term[:n]] = max(a, within.get(term[:n], 0))
     chosen: dict[str, float] = {}
-    for term, _, _ in sorted(rows, key=lambda r: (len(r[0]), r[0])):
+    for term in sorted(count, key=lambda t: (len(t), t)):
         bare = term.rstrip(" ")
-        above = max((chosen[bare[:n]] for n in range(1, len(term)) if bare[:n] in chosen), default=0.0)
-        if odds[term] >= max(math.log(8), above + 0.5):
-            chosen[term] = odds[term]
+        above = max((odds[bare[:n]] for n in range(1, len(term)) if bare[:n] in chosen), default=0.0)
+        if within.get(term, 0) < 0.9 * count[term] and odds[term] >= max(math.log(8), above + 0.5):
+            chosen[term] = odds[term] * min(1.0, count[term] / (4 * least))
     top = sorted(chosen, key=lambda t: (-chosen[t], t))[:max_terms]
     return {t: chosen[t] for t in top}
 
@@ -166,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, min_stem:
         return Lexicon()
     least = max(3, toxic // 100)
     rows = counts.where((F.col("a") >= least) & F.col("term").isNotNull() & ((F.col("a") + 0.5) / (toxic + 1) >= 8 * (F.col("b") + 0.5) / (clean + 1))).collect()
-    lexicon = Lexicon(choose([(r["term"], r["a"], r["b"]) for r in rows], toxic, clean, max_terms))
+    lexicon = Lexicon(choose([(r["term"], r["a"], r["b"]) for r in rows], toxic, clean, max_terms, least))
     fit = sample.orderBy("h", "doc_id").limit(max_fit).select("text", "y").toLocalIterator()
     seen = [(r["text"], r["y"]) for r in fit]
     automaton = lexicon.automaton()
