@@ -34,7 +34,7 @@ _CHILDREN = f"""
     children AS (SELECT nodes.depth + 1 AS depth, nodes.ini, nodes.fim, CAST(coalesce(sum(k.c), 0) AS BIGINT) AS n, v.want
                  FROM nodes CROSS JOIN v LEFT JOIN k ON k.day = nodes.ini AND starts_with(k.have, v.want)
                  WHERE nodes.status = 'SPLIT_SECONDARY' GROUP BY ALL),
-    every AS (SELECT depth, ini, fim, n, status, NULL AS class FROM nodes
+    every AS (SELECT depth, ini, fim, n, status, CAST(NULL AS VARCHAR) AS class FROM nodes
               UNION ALL SELECT depth, ini, fim, n, CASE WHEN n >= {CAP} THEN 'GAP' ELSE 'LEAF_DONE_SECONDARY' END, want FROM children)
 """
 
