@@ -128,25 +128,24 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def candidates(lines: DataFrame, tau: int, long_list: int) -> DataFrame:
-    """Distinct pairs (a, b) of lines that share a segment in place. lines: (id, line, n), distinct, n > tau + 1."""
-    n, line = F.col("n"), F.col("line")
-
-    def keyed(rows: DataFrame, parts: int, matches: int) -> tuple[DataFrame, DataFrame]:
-        index = rows.select("id", F.explode(index_keys(line, n, parts, matches)).alias("key"))
-        probe = rows.select("id", F.explode(probe_keys(line, n, tau, parts, matches)).alias("key"))
-        return index, probe
+    """Distinct pairs (a, b) of lines that share a segment in place. lines: (id, line, n), n > tau + 1; copies may repeat.
 
-    index, probe = keyed(lines, tau + 1, 1)
-    index = written(index, "segments")
-    crowded = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > long_list).select("key")
-    crowded = small(crowded, "crowded-segments")
-    joined = probe.select(F.col("id").alias("a"), "key").join(index.join(crowded, "key", "left_anti").select(F.col("id").alias("b"), "key"), "key")
+    Keys are made where the lines are read; what is shuffled to make copies one are keys, not texts."""
+    n, line = F.col("n"), F.col("line")
+    keyed = lines.select("id", index_keys(line, n, tau + 1, 1).alias("index"), probe_keys(line, n, tau, tau + 1, 1).alias("probe"))
+    once = written(keyed.groupBy("id").agg(F.first("index").alias("index"), F.first("probe").alias("probe")), "line-keys")
+    index, probe = once.select("id", F.explode("index").alias("key")), once.select("id", F.explode("probe").alias("key"))
+    crowded = small(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > long_list).select("key"), "crowded-segments")
+    rare = index.join(crowded, "key", "left_anti")
+    joined = probe.select(F.col("id").alias("a"), "key").join(rare.select(F.col("id").alias("b"), "key"), "key")
     pairs = joined.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # lines of crowded segments meet again by two segments of one more
-    again = index.join(crowded, "key", "left_semi").select("id").union(probe.join(crowded, "key", "left_semi").select("id")).distinct()
-    fine_index, fine_probe = keyed(lines.join(small(again, "crowded-lines"), "id", "left_semi"), tau + 2, 2)
-    fine = fine_probe.select(F.col("id").alias("a"), "key").join(fine_index.select(F.col("id").alias("b"), "key"), "key")
-    return pairs.union(fine.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    again = small(index.join(crowded, "key", "left_semi").select("id").union(probe.join(crowded, "key", "left_semi").select("id")).distinct(), "crowded-lines")
+    few = lines.join(again, "id", "left_semi").dropDuplicates(["id"])
+    fine_probe = few.select(F.col("id").alias("a"), F.explode(probe_keys(line, n, tau, tau + 2, 2)).alias("key"))
+    fine_index = few.select(F.col("id").alias("b"), F.explode(index_keys(line, n, tau + 2, 2)).alias("key"))
+    fine = fine_probe.join(fine_index, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.union(fine).distinct()
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 24, long_list: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -156,8 +155,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = lines.select("doc_id", "row", "pos", F.unhex(F.md5("line")).alias("id"), F.char_length("line").alias("n"), "line")
     places = written(named.where(F.trim("line") != "").select("doc_id", "row", "pos", "id"), "line-places")
     long = named.where((F.col("n") >= max(min_chars, tau + 2)) & (F.trim("line") != ""))
-    # keys are made where the lines are read; copies fall together in the shuffle to lists
-    pairs = written(candidates(long.select("id", "line", "n").dropDuplicates(["id"]), tau, long_list), "line-pairs")
+    pairs = written(candidates(long.select("id", "line", "n"), tau, long_list), "line-pairs")
     wanted = small(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "line-candidates")
     texts = written(long.join(wanted, "id", "left_semi").select("id", "line").dropDuplicates(["id"]), "line-texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
