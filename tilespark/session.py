@@ -26,8 +26,16 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+#: Rows that go to a Python worker at once, unless the session says otherwise. Rows hold whole texts here, and Spark's
+#: default of 10,000 would hold them twice on either side.
+ROWS_PER_BATCH = 1_000
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application. They need no copy installed."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -55,11 +63,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, row_group: int | None = None) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: its lineage ends there, so an executor
-    that is lost later costs no recomputation, and every later use reads the same rows."""
+    that is lost later costs no recomputation, and every later use reads the same rows. row_group: bytes that a writer,
+    and later a reader, holds at once; less than Parquet's 128 MB where single rows are large."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    (df.write if row_group is None else df.write.option("parquet.block.size", row_group)).parquet(path)
     return spark.read.schema(schema).parquet(path)
