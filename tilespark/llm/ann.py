@@ -208,7 +208,7 @@ def _search(k: int, width: int):
     return run
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 64, block_rows: int = 1_024) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 160, block_rows: int = 1_024) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries (vec_id, v), its k nearest rows that the index finds, but
     those with its own id; ties go to the smaller vec_id.
 
