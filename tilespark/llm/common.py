@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import ctypes
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +10,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, written
 from ..session import table as read_table
 
+# Freed buffers go back to the system; Python workers live long beside the JVM's heap.
+pa.set_memory_pool(pa.system_memory_pool())
+_libc = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 #: The six ASCII characters that separate words: space and \x09 to \x0D.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -25,25 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests, local
-    mode), a temporary folder of this machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = "file://" + os.path.join(tempfile.gettempdir(), f"tilespark-{os.getuid()}")
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read back: its lineage ends there, so an executor
-    that is lost later costs no recomputation, and every later use reads the same rows."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def small(df: DataFrame, what: str, most: int = 500_000) -> DataFrame:
     """df, written, with a broadcast hint if it has at most so many (short) rows; else a join shuffles both sides."""
     df = written(df, what)
@@ -159,9 +149,9 @@ def ragged(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - counts, counts)
 
 
-def slices(batches, limit: int = 4 << 20):
+def slices(batches, limit: int = 1 << 20):
     """Record batches cut so that the first string column holds about limit bytes in each; a longer text stands
-    alone."""
+    alone. Hashing holds some forty times those bytes meanwhile."""
     for batch in batches:
         column = next(c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type))
         sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64))
@@ -171,6 +161,14 @@ def slices(batches, limit: int = 4 << 20):
             end = max(begin + 1, int(np.searchsorted(sizes, before + limit, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+        give_back()
+
+
+def rows_of(batch):
+    """The rows of a batch as dictionaries, one at a time: rows here may be megabytes each."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+    give_back()
 
 
 # ---------------------------------------------------------------- connected components

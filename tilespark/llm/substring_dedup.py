@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    CHECK_BASE, gram_hashes, mix, partitions, planned_bytes, slices, sliding_max, sliding_min, span_hashes, text_buffers, word_spans, written,
+    CHECK_BASE, gram_hashes, mix, partitions, planned_bytes, rows_of, slices, sliding_max, sliding_min, span_hashes, text_buffers, word_spans, written,
 )
 
 ROWS = 2
@@ -109,7 +109,7 @@ def _sketcher(bits: int, width: int, gram: int):
             for row in range(ROWS):
                 parts[row].append(cells(chosen, row, bits))
             held += len(chosen)
-            if held >= 4 << 20:
+            if held >= 2 << 20:
                 yield from flush()
                 held = 0
         yield from flush()
@@ -209,7 +209,8 @@ def _deal(shards: int):
 
     def run(batches):
         for batch in batches:
-            for pack, first, second in zip(*(batch.column(c).to_pylist() for c in ("pack", "first", "second")), strict=True):
+            for x in rows_of(batch):
+                pack, first, second = x["pack"], x["first"], x["second"]
                 first, second = np.frombuffer(first, dtype=np.uint64), np.frombuffer(second, dtype=np.uint32)
                 order, heads = _distinct(first, second)
                 if not len(heads):
@@ -264,7 +265,7 @@ RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string,
 def _apply(width: int, with_text: bool):
     def run(batches):
         for batch in batches:
-            for x in batch.to_pylist():
+            for x in rows_of(batch):
                 verdicts = sorted(x["verdicts"] or [], key=lambda v: v["shard"])
                 first, second = np.frombuffer(x["first"], dtype=np.uint64), np.frombuffer(x["second"], dtype=np.uint32)
                 spots = np.frombuffer(x["spots"], dtype=np.uint32).astype(np.int64)
@@ -293,7 +294,7 @@ def _apply(width: int, with_text: bool):
 
 
 def substring_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, gram: int = 8, max_cells: int = 1 << 28, shard_windows: int = 1 << 20, with_text: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, gram: int = 8, max_cells: int = 1 << 28, shard_windows: int = 1 << 20, max_broadcast: int = 64 << 20, with_text: bool = False
 ) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept_sha256 (lower-case hex of the kept words joined by
     one space, UTF-8) and, if with_text, kept (null where nothing was removed).
@@ -305,11 +306,15 @@ def substring_dedup(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bits = sketch_bits(planned_bytes(rows), max_cells)
     sketch = spark.sparkContext.broadcast(repeated_cells(rows.select("text"), bits, width, gram))
-    packs = written(rows.mapInArrow(_pack(sketch, bits, width, gram), PACK_SCHEMA), "packs")
+    packs = written(rows.mapInArrow(_pack(sketch, bits, width, gram), PACK_SCHEMA), "packs", row_group=16 << 20)
     hot = packs.agg(F.sum(F.length("first") / 8)).first()[0] or 0
     shards = max(1, math.ceil(hot / shard_windows), partitions(spark))
     dealt = packs.select("pack", "first", "second").mapInArrow(_deal(shards), "pack string, shard int, first binary, second binary, many binary")
     judged = dealt.repartition(partitions(spark), "shard").sortWithinPartitions("shard").mapInArrow(_judge, "pack string, shard int, bits binary, n int")
-    verdicts = judged.groupBy("pack").agg(F.collect_list(F.struct("shard", "bits", "n")).alias("verdicts"))
+    verdicts = written(judged.groupBy("pack").agg(F.collect_list(F.struct("shard", "bits", "n")).alias("verdicts")), "verdicts")
+    # a bit for each hash: while that is little, packs needn't be shuffled to their verdicts
+    size = verdicts.agg(F.sum(F.expr("aggregate(verdicts, 0L, (a, v) -> a + length(v.bits) + 64)"))).first()[0] or 0
+    if size <= max_broadcast:
+        verdicts = F.broadcast(verdicts)
     out = packs.join(verdicts, "pack", "left").mapInArrow(_apply(width, with_text), RESULT_SCHEMA)
     return out if with_text else out.drop("kept")
