@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import give_back, partitions, written
 from .tokens import load
 
 PLANES = {"byte": 4, "bit": 32}
@@ -107,6 +107,7 @@ def _encode(path: str, end_id: int, block: int, segment: int, mode: str):
                     inner, ids, lengths, packed, held = inner + held, [], [], [], 0
         if ids:
             yield out()
+        give_back()
 
     return run
 

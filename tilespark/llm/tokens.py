@@ -18,7 +18,7 @@ import numpy as np
 import regex
 
 #: Entries of each cache of a Python worker; a full one is emptied. It bounds memory and changes no result.
-CACHE_FIELDS = 250_000
+CACHE_FIELDS = 200_000
 #: How byte-level files split a text into pieces. Letters and digits of the Latin blocks only are split by it here, as
 #: libraries agree on their classes; other fields go to the tokenizer as they are.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, written
 
 # Letters that look like Latin ones, and signs that stand for letters.
 HOMOGLYPHS = str.maketrans(dict(zip("аеорсухіјѕԁӏкмтвнгαβεικνορτυχ", "aeopcyxijsdlkmtbhrabeikvoptux", strict=True)))
@@ -105,6 +105,7 @@ def _term_counts(min_stem: int, max_stem: int):
                 yield _count_rows(counts)
                 counts = [Counter(), Counter()]
         yield _count_rows(counts)
+        give_back()
 
     return run
 
@@ -222,6 +223,7 @@ def _keep(lexicon: Lexicon):
         for batch in batches:
             clean = [lexicon.score(t, automaton) < 0.5 for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
+        give_back()
 
     return run
 
