@@ -357,6 +357,20 @@ def test_decontamination(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [3, 4, 5, 6, None]
 
 
+def held(spark, item, *texts):
+    benchmark = spark.createDataFrame([(10, item)], "item_id long, text string")
+    return sorted(r["doc_id"] for r in decontamination.matches(frame(spark, list(enumerate(texts))), benchmark).collect())
+
+
+def test_decontamination_over_shifts(spark):
+    item = "the old ferry left Lisbon at dawn with nine crates of oranges and then it crossed the wide bay to reach the small harbour where seven men were waiting for the load"
+    words = item.split()
+    inserted, dropped = " ".join([*words[:15], "slowly", *words[15:]]), " ".join([*words[:15], *words[16:]])
+    longer = item.replace("Lisbon", "New York")
+    few = " ".join(words[:12]) + " and then something else altogether happened on that day"
+    assert held(spark, item, f"before it {inserted}", dropped, f"before it {longer} after", " ".join(words[:22]), few) == [0, 1, 2, 3]
+
+
 # ---------------------------------------------------------------- mixing
 
 

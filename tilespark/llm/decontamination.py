@@ -2,13 +2,17 @@
 
 Texts become sequences of template words: lower case, without punctuation; a word with a digit is a number
 placeholder, a number with a letter suffix or a unit after a number is a unit placeholder, and a word that begins with a
-capital within a sentence is a name placeholder. Windows of `width` template words are hashed; a benchmark item that is
-shorter is one window. Documents' windows are hash-joined with the items' windows.
-
-For each document, item and alignment, the matching windows cover some of the item's; a document holds the item if they
-cover at least `coverage` of it, half its words there at least aren't placeholders, and the slots are consistent:
-along the alignment, equal slot words of the item face equal slot words of the document, and the reverse. So a
-question with other numbers or names is caught, and a text that merely has numbers in the same places is not.
+capital within a sentence is a name placeholder. A run of name words, or of number words, is one placeholder. Windows of
+`width` template words are hashed; a benchmark item that is shorter is one window. Documents' windows are hash-joined with
+the items' windows. Positions count words as they stand, before runs become one.
+
+A match has a shift, the window's position in the document less that in the item. Inserted or dropped words, and slots of
+another number of words, move it; so the matches of one shift are judged alone and together with those of shifts less
+than the item's length away, the nearest first. A document holds the item if these windows are at least `coverage` of the
+item's windows, or cover at least `coverage` of the words that these cover, half of a window's template words at least
+aren't placeholders, and the slots are consistent: equal slot words of the item face equal slot words of the document,
+and the reverse. So a question with other numbers or names is caught, and a text that merely has numbers in the same
+places is not.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix, slices, small, span_hashes, text_buffers, word_spans, written
+from .common import WINDOW_BASE, gram_hashes, mix, partitions, powers, ragged, slices, small, span_hashes, text_buffers, word_spans, written
 
 # Words that are units when they follow a number.
 UNITS = "mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr hours minutes seconds days weeks months years percent usd eur dollars euros cents miles meters metres grams litres liters".split()
@@ -40,8 +44,8 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(span_hashes(buffer, *word_spans(buffer)))
 
 
-def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template hash, exact hash, kind) of every word that has a letter or digit, and where each text's words begin."""
+def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exact hash, kind) of every word that has a letter or digit, and where each text's words begin."""
     buffer, offsets = text_buffers(column)
     word_at = _WORD_BYTE[buffer]
     # punctuation inside or around a word is dropped; the word's other bytes are moved together
@@ -74,15 +78,32 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     after_number = np.concatenate(([False], kind[:-1] == _NUMBER))
     after_number[firsts[:-1][firsts[:-1] < len(kind)]] = False
     kind = np.where(is_unit & after_number, _UNIT, kind)
+    return exact, kind, firsts
+
+
+def merged(exact: np.ndarray, kind: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template words, runs of names or of numbers being one: template hash, exact hash, kind, the number of the first
+    word of each (and, at the end, of all words), and where each text's template words begin."""
+    begins = np.ones(len(kind), dtype=bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | ((kind[1:] != _NUMBER) & (kind[1:] != _NAME))
+    begins[firsts[:-1][firsts[:-1] < len(kind)]] = True
+    heads = np.flatnonzero(begins)
+    sizes = np.diff(np.concatenate((heads, [len(kind)])))
+    if len(heads):
+        runs = mix(np.add.reduceat(exact * powers(WINDOW_BASE, int(sizes.max()))[ragged(sizes)], heads))
+        exact = np.where(sizes > 1, runs, exact[heads])
+    kind = kind[heads]
     hashes = np.where(kind == _LITERAL, exact, mix(_PLACEHOLDER[kind]))
-    return hashes, exact, kind, firsts
+    return hashes, exact, kind, np.concatenate((heads, [len(begins)])), np.searchsorted(heads, firsts)
 
 
 def _windows(batches, width: int, wanted: dict[int, np.ndarray | None] | None):
-    """(id, position, hash, size, slots) of windows. wanted: for each window size, the sorted hashes to keep, or None
-    to keep all; if wanted is None itself, these are items: all windows of `width`, or the whole of a shorter one."""
+    """(id, position, hash, size, slots, places) of windows. wanted: for each window size, the sorted hashes to keep, or
+    None to keep all; if wanted is None itself, these are items: all windows of `width`, or the whole of a shorter one,
+    with the place of each template word and of the window's end."""
     for batch in slices(batches):
-        hashes, exact, kind, firsts = templates(batch.column(1))
+        exact, kind, begin = templates(batch.column(1))
+        hashes, exact, kind, heads, firsts = merged(exact, kind, begin)
         counts = np.diff(firsts)
         sizes = sorted({width, *np.unique(counts[(counts > 0) & (counts < width)]).tolist()}) if wanted is None else sorted(wanted)
         for size in sizes:
@@ -98,13 +119,81 @@ def _windows(batches, width: int, wanted: dict[int, np.ndarray | None] | None):
                 ok &= wanted[size][at] == grams
             hit = np.flatnonzero(ok)
             slots = [np.where(kind[k : k + size] > 0, exact[k : k + size], 0).view(np.int64).tolist() for k in hit]
+            places = [(heads[k : k + size + 1] - begin[r]).tolist() for k, r in zip(hit, row[hit])] if wanted is None else [None] * len(hit)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row[hit])), pa.array(hit - firsts[row[hit]], pa.int32()), pa.array(grams[hit].view(np.int64)), pa.array(np.full(len(hit), size), pa.int32()), pa.array(slots, pa.list_(pa.int64()))],
-                names=["id", "pos", "window", "size", "slots"],
+                [batch.column(0).take(pa.array(row[hit])), pa.array(heads[hit] - begin[row[hit]], pa.int32()), pa.array(grams[hit].view(np.int64)), pa.array(np.full(len(hit), size), pa.int32()), pa.array(slots, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
+                names=["id", "pos", "window", "size", "slots", "places"],
             )
 
 
-WINDOW_SCHEMA = "id long, pos int, window long, size int, slots array<long>"
+WINDOW_SCHEMA = "id long, pos int, window long, size int, slots array<long>, places array<int>"
+MATCH_SCHEMA = "doc_id long, item_id long, n_windows long, item_windows long, n_slots long, changed_slots long, exact boolean"
+
+
+def _share(found: list[tuple]) -> tuple[int, int, int, int] | None:
+    """(windows, words, slots, changed slots) of matches (position, places, slots, facing slots); None if the slots are
+    inconsistent."""
+    facing = {(a, b) for _, _, slots, mine in found for a, b in zip(slots, mine, strict=True) if a}
+    if len({a for a, _ in facing}) < len(facing) or len({b for _, b in facing}) < len(facing):
+        return None
+    words = {w for _, places, _, _ in found for w in range(places[0], places[-1])}
+    return len({x[0] for x in found}), len(words), len(facing), sum(a != b for a, b in facing)
+
+
+def _best(shifts: dict[int, dict[int, tuple]], n_windows: int, n_words: int, coverage: float) -> tuple[int, int, int] | None:
+    """(windows, slots, changed slots) at the best alignment that holds the item: the most windows, then the fewest
+    changed slots, then the least shift. shifts: for each shift, matches by position in the item."""
+    best = None
+    order = sorted(shifts)
+    for at, shift in enumerate(order):
+        tries = [list(shifts[shift].values())]
+        if len(tries[0]) < n_windows:
+            taken, left, right = dict(shifts[shift]), at - 1, at + 1
+            while len(taken) < n_windows:
+                down = shift - order[left] if left >= 0 else n_words
+                up = order[right] - shift if right < len(order) else n_words
+                if min(down, up) >= n_words:
+                    break
+                left, right, near = (left - 1, right, order[left]) if down <= up else (left, right + 1, order[right])
+                for pos, match in shifts[near].items():
+                    taken.setdefault(pos, match)
+            if len(taken) > len(tries[0]):
+                tries.append(list(taken.values()))
+        for found in tries:
+            share = _share(found)
+            if share and (share[0] >= coverage * n_windows - 1e-9 or share[1] >= coverage * n_words - 1e-9):
+                rank = (share[0], -share[3], -shift)
+                if best is None or rank > best[0]:
+                    best = rank, (share[0], share[2], share[3])
+        if best and best[1][0] == n_windows and not best[1][2]:
+            break
+    return best and best[1]
+
+
+def _judge(coverage: float):
+    """The items that documents hold. The matches of a document and item come one after the other."""
+
+    def run(batches):
+        current, sums, shifts = None, None, {}
+
+        def held():
+            best = _best(shifts, *sums, coverage)
+            return [] if best is None else [(*current, best[0], sums[0], best[1], best[2], best[2] == 0)]
+
+        kinds = [pa.int64()] * 6 + [pa.bool_()]
+        names = [x.split()[0] for x in MATCH_SCHEMA.split(", ")]
+        for batch in batches:
+            out = []
+            for doc, item, pos, start, slots, places, mine, windows, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if current != (doc, item):
+                    out += held() if current else []
+                    current, sums, shifts = (doc, item), (windows, words), {}
+                shifts.setdefault(pos - start, {}).setdefault(start, (start, places, slots, mine))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=names)
+        if current:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in held()], t) for k, t in enumerate(kinds)], names=names)
+
+    return run
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.6, max_broadcast: int = 4_000_000) -> DataFrame:
@@ -131,19 +220,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: flo
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     found = rows.mapInArrow(lambda b: _windows(b, width, wanted.value), WINDOW_SCHEMA)
     a = found.select(F.col("id").alias("doc_id"), "pos", "window", "size", F.col("slots").alias("mine"))
-    b = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "window", "size", "slots")
-    joined = a.join(b, ["window", "size"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
-    facing = F.expr("filter(arrays_zip(sequence(item_pos, item_pos + size - 1), slots, mine), p -> p.slots <> 0)")
-    aligned = joined.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("item_pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(facing))).alias("facing"))
-    there, here = F.expr("array_distinct(transform(facing, p -> p.slots))"), F.expr("array_distinct(transform(facing, p -> p.mine))")
-    both = F.expr("array_distinct(transform(facing, p -> struct(p.slots, p.mine)))")
-    sums = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos").alias("item_windows"))
-    judged = aligned.where((F.size(both) == F.size(there)) & (F.size(both) == F.size(here))).join(F.broadcast(sums) if few else sums, "item_id")
-    judged = judged.where(F.col("n_windows") >= F.ceil(F.lit(coverage) * F.col("item_windows")))
-    changed = F.expr("size(filter(facing, p -> p.slots <> p.mine))").cast("long")
-    best = judged.select("doc_id", "item_id", F.struct(F.col("n_windows"), -changed, -F.col("shift"), F.size("facing").cast("long").alias("n_slots"), F.col("item_windows")).alias("m"))
-    best = best.groupBy("doc_id", "item_id").agg(F.max("m").alias("m"))
-    return best.select("doc_id", "item_id", F.col("m.n_windows").alias("n_windows"), F.col("m.item_windows").alias("item_windows"), F.col("m.n_slots").alias("n_slots"), (-F.col("m.col2")).alias("changed_slots"), (F.col("m.col2") == 0).alias("exact"))
+    b = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "window", "size", "slots", "places")
+    words = items.select("id", "pos", F.explode(F.expr("sequence(places[0], places[size] - 1)")).alias("word"))
+    sums = words.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos").alias("item_windows"), F.countDistinct("word").alias("item_words"))
+    joined = a.join(b, ["window", "size"]).join(F.broadcast(sums) if few else sums, "item_id")
+    joined = joined.select("doc_id", "item_id", "pos", "item_pos", "slots", "places", "mine", "item_windows", "item_words")
+    dealt = joined.repartition(partitions(spark), "doc_id", "item_id").sortWithinPartitions("doc_id", "item_id", "pos", "item_pos", "places", "mine")
+    return dealt.mapInArrow(_judge(coverage), MATCH_SCHEMA)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
