@@ -371,6 +371,15 @@ def test_decontamination_over_shifts(spark):
     assert held(spark, item, f"before it {inserted}", dropped, f"before it {longer} after", " ".join(words[:22]), few) == [0, 1, 2, 3]
 
 
+def test_decontamination_reads_names_anywhere(spark):
+    item = "Lisbon has nine bridges over its wide old river. Anna crossed three of them on her way home. Porto has only two and they are both new."
+    other = item.replace("Lisbon", "Oslo").replace("Anna", "Paula").replace("Porto", "Bergen")
+    trip = "the old ferry left Lisbon at dawn and reached Faro after Anna had gone to sleep near Evora with Berta and the small dog"
+    wrapped = trip.replace(" Lisbon", "\nLisbon").replace(" Faro", "  Faro").replace(" Anna", "\n\nAnna").replace(" Evora", "\tEvora").replace(" Berta", "\nBerta")
+    assert held(spark, item, f"Before it. {other}", "Oslo has nine bridges, and that is all.") == [0]
+    assert held(spark, trip, f"so {wrapped}", wrapped.replace("Faro", "Elvas")) == [0, 1]
+
+
 # ---------------------------------------------------------------- mixing
 
 

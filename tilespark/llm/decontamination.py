@@ -2,7 +2,9 @@
 
 Texts become sequences of template words: lower case, without punctuation; a word with a digit is a number
 placeholder, a number with a letter suffix or a unit after a number is a unit placeholder, and a word that begins with a
-capital within a sentence is a name placeholder. A run of name words, or of number words, is one placeholder. Windows of
+capital may be a name placeholder. Texts are read in three ways, and windows of all are hashed: names are the capitals
+within a sentence and a line; the capitals within a sentence, however lines break; all capitals. So where a name stands and
+how white space lies hides no match. A run of name words, or of number words, is one placeholder. Windows of
 `width` template words are hashed; a benchmark item that is shorter is one window. Documents' windows are hash-joined with
 the items' windows. Positions count words as they stand, before runs become one.
 
@@ -17,6 +19,8 @@ places is not.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,8 +48,8 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(span_hashes(buffer, *word_spans(buffer)))
 
 
-def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(exact hash, kind) of every word that has a letter or digit, and where each text's words begin."""
+def templates(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(exact hash, its kind in each reading) of every word that has a letter or digit, and where each text's words begin."""
     buffer, offsets = text_buffers(column)
     word_at = _WORD_BYTE[buffer]
     # punctuation inside or around a word is dropped; the word's other bytes are moved together
@@ -63,22 +67,24 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letters = np.bincount(inside[use], weights=_LETTER[buffer[at[use]]], minlength=len(starts))[real] > 0
     first = starts[real]
     capital = (buffer[first] >= 65) & (buffer[first] <= 90)
-    # a capital begins a name if the word before, in the same line, ends neither a sentence nor a text
     place = np.flatnonzero(real)
     last = buffer[ends - 1]
     before = np.maximum(place - 1, 0)
     same_line = (place > 0) & (buffer[np.minimum(ends[before], len(buffer) - 1)] == 0x20) & (starts[place] == ends[before] + 1)
-    quiet = same_line & ~np.isin(last[before], [0x2E, 0x21, 0x3F, 0x3A])
+    # within a sentence: the word before ends neither a sentence nor a text
+    quiet = ~np.isin(last[before], [0x2E, 0x21, 0x3F, 0x3A])
     firsts_all = np.searchsorted(starts, offsets)
     firsts = np.concatenate(([0], np.cumsum(real)))[firsts_all]
     quiet[firsts[:-1][firsts[:-1] < len(quiet)]] = False
-    kind = np.where(digits, np.where(letters, _UNIT, _NUMBER), np.where(capital & quiet, _NAME, _LITERAL))
     units = _unit_hashes()
     is_unit = units[np.minimum(np.searchsorted(units, exact), len(units) - 1)] == exact
-    after_number = np.concatenate(([False], kind[:-1] == _NUMBER))
-    after_number[firsts[:-1][firsts[:-1] < len(kind)]] = False
-    kind = np.where(is_unit & after_number, _UNIT, kind)
-    return exact, kind, firsts
+    after_number = np.concatenate(([False], (digits & ~letters)[:-1]))
+    after_number[firsts[:-1][firsts[:-1] < len(exact)]] = False
+    kinds = []
+    for name in (capital & quiet & same_line, capital & quiet, capital):
+        kind = np.where(digits, np.where(letters, _UNIT, _NUMBER), np.where(name, _NAME, _LITERAL))
+        kinds.append(np.where(is_unit & after_number, _UNIT, kind))
+    return exact, kinds, firsts
 
 
 def merged(exact: np.ndarray, kind: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,35 +104,45 @@ def merged(exact: np.ndarray, kind: np.ndarray, firsts: np.ndarray) -> tuple[np.
 
 
 def _windows(batches, width: int, wanted: dict[int, np.ndarray | None] | None):
-    """(id, position, hash, size, slots, places) of windows. wanted: for each window size, the sorted hashes to keep, or
+    """(id, position, hash, size, slots, places, reading) of windows. wanted: for each window size, the sorted hashes to keep, or
     None to keep all; if wanted is None itself, these are items: all windows of `width`, or the whole of a shorter one,
     with the place of each template word and of the window's end."""
     for batch in slices(batches):
-        exact, kind, begin = templates(batch.column(1))
-        hashes, exact, kind, heads, firsts = merged(exact, kind, begin)
-        counts = np.diff(firsts)
-        sizes = sorted({width, *np.unique(counts[(counts > 0) & (counts < width)]).tolist()}) if wanted is None else sorted(wanted)
-        for size in sizes:
-            grams = gram_hashes(hashes, size) ^ np.uint64(size)
-            if not len(grams):
-                continue
-            row = np.repeat(np.arange(len(counts)), counts)[: len(grams)]
-            ok = firsts[1:][row] - np.arange(len(grams)) >= size
-            if wanted is None:
-                ok &= (counts[row] == size) | (size == width)
-            elif wanted[size] is not None:
-                at = np.minimum(np.searchsorted(wanted[size], grams), len(wanted[size]) - 1)
-                ok &= wanted[size][at] == grams
-            hit = np.flatnonzero(ok)
-            slots = [np.where(kind[k : k + size] > 0, exact[k : k + size], 0).view(np.int64).tolist() for k in hit]
-            places = [(heads[k : k + size + 1] - begin[r]).tolist() for k, r in zip(hit, row[hit])] if wanted is None else [None] * len(hit)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row[hit])), pa.array(heads[hit] - begin[row[hit]], pa.int32()), pa.array(grams[hit].view(np.int64)), pa.array(np.full(len(hit), size), pa.int32()), pa.array(slots, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
-                names=["id", "pos", "window", "size", "slots", "places"],
-            )
-
-
-WINDOW_SCHEMA = "id long, pos int, window long, size int, slots array<long>, places array<int>"
+        exact, kinds, begin = templates(batch.column(1))
+        for reading, kind in enumerate(kinds):
+            # each reading has the names of the one before, and windows without another one are the same
+            other = kind != kinds[reading - 1] if reading else np.ones(len(kind), dtype=bool)
+            if other.any():
+                yield from _read(batch.column(0), exact, kind, begin, other, reading, width, wanted)
+
+
+def _read(ids: pa.Array, exact: np.ndarray, kind: np.ndarray, begin: np.ndarray, other: np.ndarray, reading: int, width: int, wanted):
+    """The windows of one reading that hold a word of which other is true."""
+    hashes, exact, kind, heads, firsts = merged(exact, kind, begin)
+    fresh = np.concatenate(([0], np.cumsum(other)))[heads]
+    counts = np.diff(firsts)
+    sizes = sorted({width, *np.unique(counts[(counts > 0) & (counts < width)]).tolist()}) if wanted is None else sorted(wanted)
+    for size in sizes:
+        grams = gram_hashes(hashes, size) ^ np.uint64(size)
+        if not len(grams):
+            continue
+        row = np.repeat(np.arange(len(counts)), counts)[: len(grams)]
+        ok = (firsts[1:][row] - np.arange(len(grams)) >= size) & (fresh[size:] > fresh[: len(grams)])
+        if wanted is None:
+            ok &= (counts[row] == size) | (size == width)
+        hit = np.flatnonzero(ok)
+        if wanted is not None and wanted[size] is not None:
+            at = np.minimum(np.searchsorted(wanted[size], grams[hit]), len(wanted[size]) - 1)
+            hit = hit[wanted[size][at] == grams[hit]]
+        slots = [np.where(kind[k : k + size] > 0, exact[k : k + size], 0).view(np.int64).tolist() for k in hit]
+        places = [(heads[k : k + size + 1] - begin[r]).tolist() for k, r in zip(hit, row[hit])] if wanted is None else [None] * len(hit)
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(row[hit])), pa.array(heads[hit] - begin[row[hit]], pa.int32()), pa.array(grams[hit].view(np.int64)), pa.array(np.full(len(hit), size), pa.int32()), pa.array(slots, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(np.full(len(hit), reading), pa.int32())],
+            names=["id", "pos", "window", "size", "slots", "places", "reading"],
+        )
+
+
+WINDOW_SCHEMA = "id long, pos int, window long, size int, slots array<long>, places array<int>, reading int"
 MATCH_SCHEMA = "doc_id long, item_id long, n_windows long, item_windows long, n_slots long, changed_slots long, exact boolean"
 
 
@@ -171,24 +187,32 @@ def _best(shifts: dict[int, dict[int, tuple]], n_windows: int, n_words: int, cov
 
 
 def _judge(coverage: float):
-    """The items that documents hold. The matches of a document and item come one after the other."""
+    """The items that documents hold. The matches of a document and item come one after the other, those of stricter
+    readings first."""
 
     def run(batches):
-        current, sums, shifts = None, None, {}
+        current, sums, found = None, None, {}
 
         def held():
-            best = _best(shifts, *sums, coverage)
+            best, shifts = None, {}
+            # further readings only add: what the stricter ones hold stays held
+            for _, group in groupby(found.items(), lambda x: x[0][0]):
+                for (_, shift, start), match in group:
+                    shifts.setdefault(shift, {}).setdefault(start, match)
+                more = _best(shifts, *sums, coverage)
+                if more and (best is None or (more[0], -more[2]) > (best[0], -best[2])):
+                    best = more
             return [] if best is None else [(*current, best[0], sums[0], best[1], best[2], best[2] == 0)]
 
         kinds = [pa.int64()] * 6 + [pa.bool_()]
         names = [x.split()[0] for x in MATCH_SCHEMA.split(", ")]
         for batch in batches:
             out = []
-            for doc, item, pos, start, slots, places, mine, windows, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, item, reading, pos, start, slots, places, mine, windows, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if current != (doc, item):
                     out += held() if current else []
-                    current, sums, shifts = (doc, item), (windows, words), {}
-                shifts.setdefault(pos - start, {}).setdefault(start, (start, places, slots, mine))
+                    current, sums, found = (doc, item), (windows, words), {}
+                found.setdefault((reading, pos - start, start), (start, places, slots, mine))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=names)
         if current:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in held()], t) for k, t in enumerate(kinds)], names=names)
@@ -219,13 +243,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: flo
     wanted = spark.sparkContext.broadcast({k: np.sort(np.array(v, dtype=np.int64).view(np.uint64)) if few else None for k, v in by_size.items()})
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     found = rows.mapInArrow(lambda b: _windows(b, width, wanted.value), WINDOW_SCHEMA)
-    a = found.select(F.col("id").alias("doc_id"), "pos", "window", "size", F.col("slots").alias("mine"))
-    b = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "window", "size", "slots", "places")
+    a = found.select(F.col("id").alias("doc_id"), "pos", "window", "size", F.col("slots").alias("mine"), F.col("reading").alias("read"))
+    b = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "window", "size", "slots", "places", "reading")
     words = items.select("id", "pos", F.explode(F.expr("sequence(places[0], places[size] - 1)")).alias("word"))
     sums = words.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos").alias("item_windows"), F.countDistinct("word").alias("item_words"))
     joined = a.join(b, ["window", "size"]).join(F.broadcast(sums) if few else sums, "item_id")
-    joined = joined.select("doc_id", "item_id", "pos", "item_pos", "slots", "places", "mine", "item_windows", "item_words")
-    dealt = joined.repartition(partitions(spark), "doc_id", "item_id").sortWithinPartitions("doc_id", "item_id", "pos", "item_pos", "places", "mine")
+    joined = joined.select("doc_id", "item_id", F.greatest("read", "reading").alias("reading"), "pos", "item_pos", "slots", "places", "mine", "item_windows", "item_words")
+    dealt = joined.repartition(partitions(spark), "doc_id", "item_id").sortWithinPartitions("doc_id", "item_id", "reading", "pos", "item_pos", "places", "mine")
     return dealt.mapInArrow(_judge(coverage), MATCH_SCHEMA)
 
 
