@@ -380,6 +380,16 @@ def test_decontamination_reads_names_anywhere(spark):
     assert held(spark, trip, f"so {wrapped}", wrapped.replace("Faro", "Elvas")) == [0, 1]
 
 
+def test_decontamination_keeps_the_consistent_part(spark):
+    item = "when the old keeper Marta went up to the lamp she saw that the oil was low and the glass was black with smoke so she went down again to the store for a can and a cloth and on the stairs the young helper asked Marta about the weather of the day"
+    altered = item.replace("Marta about", "Berta about")
+    sums = "a farmer has 5 cows and buys 7 more at the market so how many cows does the farmer then have on the farm"
+    same = "every day 2 hens lay eggs for the shop and each box holds 2 of them so how many boxes are needed in a week"
+    assert held(spark, item, f"before it {altered} after") == [0]
+    assert held(spark, sums, sums.replace("5", "6").replace("7", "6")) == [0]
+    assert held(spark, same, same.replace("2 hens", "3 hens").replace("2 of", "5 of")) == [0]
+
+
 # ---------------------------------------------------------------- mixing
 
 

@@ -12,9 +12,10 @@ A match has a shift, the window's position in the document less that in the item
 another number of words, move it; so the matches of one shift are judged alone and together with those of shifts less
 than the item's length away, the nearest first. A document holds the item if these windows are at least `coverage` of the
 item's windows, or cover at least `coverage` of the words that these cover, half of a window's template words at least
-aren't placeholders, and the slots are consistent: equal slot words of the item face equal slot words of the document,
-and the reverse. So a question with other numbers or names is caught, and a text that merely has numbers in the same
-places is not.
+aren't placeholders, and the slots are consistent: equal names or units of the item face equal ones of the document, and
+the reverse; numbers may face any. A name that faces several keeps itself, else the one that it faces at most places;
+windows with another one, or without a most frequent one, don't count, and neither do the words under them. So a question
+with other numbers or names is caught, and a text that merely has names in the same places is not.
 """
 
 from __future__ import annotations
@@ -120,6 +121,9 @@ def _read(ids: pa.Array, exact: np.ndarray, kind: np.ndarray, begin: np.ndarray,
     """The windows of one reading that hold a word of which other is true."""
     hashes, exact, kind, heads, firsts = merged(exact, kind, begin)
     fresh = np.concatenate(([0], np.cumsum(other)))[heads]
+    # 0 for words as they are, odd for words with digits, even for names and units
+    digits = (kind == _NUMBER) | ((kind == _UNIT) & ~np.isin(exact, _unit_hashes()))
+    marked = np.where(kind == _LITERAL, np.uint64(0), (exact & ~np.uint64(1)) | np.uint64(2) | digits.astype(np.uint64)).view(np.int64)
     counts = np.diff(firsts)
     sizes = sorted({width, *np.unique(counts[(counts > 0) & (counts < width)]).tolist()}) if wanted is None else sorted(wanted)
     for size in sizes:
@@ -134,7 +138,7 @@ def _read(ids: pa.Array, exact: np.ndarray, kind: np.ndarray, begin: np.ndarray,
         if wanted is not None and wanted[size] is not None:
             at = np.minimum(np.searchsorted(wanted[size], grams[hit]), len(wanted[size]) - 1)
             hit = hit[wanted[size][at] == grams[hit]]
-        slots = [np.where(kind[k : k + size] > 0, exact[k : k + size], 0).view(np.int64).tolist() for k in hit]
+        slots = [marked[k : k + size].tolist() for k in hit]
         places = [(heads[k : k + size + 1] - begin[r]).tolist() for k, r in zip(hit, row[hit])] if wanted is None else [None] * len(hit)
         yield pa.RecordBatch.from_arrays(
             [ids.take(pa.array(row[hit])), pa.array(heads[hit] - begin[row[hit]], pa.int32()), pa.array(grams[hit].view(np.int64)), pa.array(np.full(len(hit), size), pa.int32()), pa.array(slots, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(np.full(len(hit), reading), pa.int32())],
@@ -146,14 +150,31 @@ WINDOW_SCHEMA = "id long, pos int, window long, size int, slots array<long>, pla
 MATCH_SCHEMA = "doc_id long, item_id long, n_windows long, item_windows long, n_slots long, changed_slots long, exact boolean"
 
 
-def _share(found: list[tuple]) -> tuple[int, int, int, int] | None:
-    """(windows, words, slots, changed slots) of matches (position, places, slots, facing slots); None if the slots are
-    inconsistent."""
+def _kept(counts: dict[tuple[int, int], int], side: int) -> set[tuple[int, int]]:
+    """Of the pairs with the same word on one side: the one of equal words, else the one at the most places, if one is."""
+    of: dict[int, list] = {}
+    for pair, n in counts.items():
+        of.setdefault(pair[side], []).append((pair[0] == pair[1], n, pair))
+    return {max(x)[2] for x in of.values() if len(x) == 1 or max(x)[0] or sorted(y[1] for y in x)[-2] < max(x)[1]}
+
+
+def _share(found: list[tuple]) -> tuple[int, int, int, int]:
+    """(windows, words) of the consistent ones of matches (position, places, slots, facing slots), and (slots, changed
+    slots) of all."""
+    at = {(p, a, b) for _, places, slots, mine in found for p, a, b in zip(places, slots, mine, strict=False) if a and not a & 1}
+    counts: dict[tuple[int, int], int] = {}
+    for _, a, b in at:
+        counts[a, b] = counts.get((a, b), 0) + 1
+    bad = counts.keys() - (_kept(counts, 0) & _kept(counts, 1))
+    good, words, lost = set(), set(), set()
+    for pos, places, slots, mine in found:
+        if bad and any(pair in bad for pair in zip(slots, mine, strict=True)):
+            lost.update(range(places[0], places[-1]))
+        else:
+            good.add(pos)
+            words.update(range(places[0], places[-1]))
     facing = {(a, b) for _, _, slots, mine in found for a, b in zip(slots, mine, strict=True) if a}
-    if len({a for a, _ in facing}) < len(facing) or len({b for _, b in facing}) < len(facing):
-        return None
-    words = {w for _, places, _, _ in found for w in range(places[0], places[-1])}
-    return len({x[0] for x in found}), len(words), len(facing), sum(a != b for a, b in facing)
+    return len(good), len(words - lost), len(facing), sum(a != b for a, b in facing)
 
 
 def _best(shifts: dict[int, dict[int, tuple]], n_windows: int, n_words: int, coverage: float) -> tuple[int, int, int] | None:
@@ -177,7 +198,7 @@ def _best(shifts: dict[int, dict[int, tuple]], n_windows: int, n_words: int, cov
                 tries.append(list(taken.values()))
         for found in tries:
             share = _share(found)
-            if share and (share[0] >= coverage * n_windows - 1e-9 or share[1] >= coverage * n_words - 1e-9):
+            if share[0] and (share[0] >= coverage * n_windows - 1e-9 or share[1] >= coverage * n_words - 1e-9):
                 rank = (share[0], -share[3], -shift)
                 if best is None or rank > best[0]:
                     best = rank, (share[0], share[2], share[3])
@@ -225,7 +246,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: flo
     hold, one row for each document and item, at the best alignment. exact: no slot differs.
 
     Null and empty texts and items hold and match nothing; so do items without literal words. Items of fewer than
-    `width` words match as one window. Rows with a null id are left out. Repeated documents are one document, repeated
+    `width` words match as one window. n_windows counts consistent windows, slots are those of all. Rows with a null id are left out. Repeated documents are one document, repeated
     items one item. Empty tables give no rows. Other columns are not read.
 
     The items' window hashes are broadcast while there are at most max_broadcast; beyond that, all windows of the
