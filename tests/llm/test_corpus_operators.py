@@ -126,6 +126,13 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [3, 3, 7, 9, None] and "_leaf" in kept.columns
 
 
+def test_keep_one_judges_rows_of_an_id_by_their_texts(spark):
+    rows = [(2, "a b c d e f g"), (4, "a b c d e f g"), (4, "quite other words stand in this one here"), (6, "quite other words stand in this one here")]
+    rows += [(8, "one more text of nine words stands right here"), (8, "one  more text of nine words stands right here"), (9, "One more text of nine words stands right here"), (8, None)]
+    kept = jaccard_join.keep_one(frame(spark, rows))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[0], rows[2], rows[5], rows[7]], key=str)
+
+
 def test_connected_components(spark):
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, 101), (103, 101), (200, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
