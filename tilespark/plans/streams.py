@@ -10,11 +10,11 @@ from ..streaming import windows as W
 from .registry import query
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, files: int | None = 64) -> DataFrame:
     ship(spark)
     schema = table(spark, sf_dir, "events").schema
     # a pattern, as a stream's path may be a folder or a single file
-    rows = W.stream(spark, f"{sf_dir}/event[s].parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = W.stream(spark, f"{sf_dir}/event[s].parquet", schema, files).withColumn("ts", F.col("ts").cast("timestamp"))
     return rows.select("event_id", "ts", "user_id", "event_type", "value")
 
 
@@ -55,7 +55,7 @@ def s_late(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def s_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = events(spark, sf_dir).withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
+    once = events(spark, sf_dir, files=None).withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
     return W.run_available(once, "append")
 
 
@@ -69,12 +69,12 @@ def s_stream_static(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def s_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests granted and denied for each user by a bucket that refills twice a day."""
-    timed = events(spark, sf_dir).select("user_id", "event_id", (F.unix_micros("ts") / 1e6).alias("t"))
-    return W.run_available(W.bucket_stream(timed, 2.0, 2 / 86_400), "update").drop("_batch")
+    timed = events(spark, sf_dir, files=None).select("user_id", "event_id", (F.unix_micros("ts") / 1e6).alias("t"))
+    return W.run_available(W.bucket_stream(timed, 2.0, 2 / 86_400), "update", ["user_id"])
 
 
 @query()
 def s_aimd(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") != "error", "OK").when(F.col("event_id") % 3 == 0, "RATE_LIMITED").otherwise("PARSE")
-    timed = events(spark, sf_dir).select("user_id", "event_id", (F.unix_micros("ts") / 1e6).alias("t"), kind.alias("x"))
-    return W.run_available(W.control_stream(timed, 5), "update").drop("_batch")
+    timed = events(spark, sf_dir, files=None).select("user_id", "event_id", (F.unix_micros("ts") / 1e6).alias("t"), kind.alias("x"))
+    return W.run_available(W.control_stream(timed, 5), "update", ["user_id"])

@@ -17,13 +17,16 @@ from ..operators.workqueue import control_fold
 from ..session import scratch_dir
 
 
-def stream(spark: SparkSession, path: str, schema, files: int = 64) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def stream(spark: SparkSession, path: str, schema, files: int | None = 64) -> DataFrame:
+    """files: how many a micro-batch takes; None: all that are there, where the order of events across files counts."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
 
 
-def run_available(result: DataFrame, mode: str) -> DataFrame:
+def run_available(result: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Runs the stream over what is there. Complete results replace each other, so the last batch counts; appended
-    and updated ones add up, an update with the number of its batch."""
+    and updated ones add up, an update with the number of its batch. keys: of updates, only the row of each key's last
+    batch stays, without the number."""
     spark, base = result.sparkSession, f"{scratch_dir(result.sparkSession)}/stream-{uuid.uuid4().hex}"
     schema, last = result.schema, []
 
@@ -36,6 +39,9 @@ def run_available(result: DataFrame, mode: str) -> DataFrame:
     if not last:
         return spark.createDataFrame([], schema)
     rows = spark.read.parquet(*[f"{base}/rows/n={n}" for n in ([max(last)] if mode == "complete" else sorted(set(last)))])
+    if mode == "update" and keys:
+        last_rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*schema.fieldNames()), "_batch").alias("last"))
+        return last_rows.select("last.*")
     return rows if mode == "update" else rows.select(*schema.fieldNames())
 
 
