@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -471,3 +472,39 @@ def test_empty_tables(spark):
     assert line_dedup.line_dedup(docs).count() == 0
     assert decontamination.matches(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert toxicity.score(docs, toxicity.Lexicon()).count() == 0
+
+
+# ---------------------------------------------------------------- fields and splices against the library
+
+
+def test_random_texts_equal_the_library():
+    """White space of all kinds, letters of one to four bytes, special strings and contractions, in any order."""
+    t, rng = tokens.load(BPE), random.Random(5)
+    alphabet = ["a", "b", "é", "à", "É", "×", " ", " ", " ", "\n", "\t", " ", "\u0085", " ", "　", "\x1c", "日", "“", "’", "'s", "'", "1", "²", "<|endoftext|>", ".", ",", "😀", "x", "y", "ŉ"]
+    some = ["".join(rng.choices(alphabet, k=rng.randrange(0, 25))) for _ in range(4000)] + ["q" * 300, " " + "z" * 41]
+    ids, counts = t.packed(pa.array(some))
+    expected = [t.tokenizer.encode(x, add_special_tokens=False).ids for x in some]
+    assert [len(x) for x in expected] == counts.tolist() and [i for x in expected for i in x] == ids.tolist()
+    for x in some[:400]:
+        x = x * 6
+        assert token_count.spliced(t, x, 40, 6) == len(t.tokenizer.encode(x, add_special_tokens=False).ids), x
+
+
+def test_token_counts_widen_and_encode_whole(spark):
+    """No boundary in the first overlap of some texts, and none at all in others; repeated rows and null ids too."""
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choices("abcdefg", k=n))
+    rows = [(1, " ".join(word(rng.choice([3, 200, 700])) for _ in range(60))), (2, word(9000)), (2, word(9000)), (None, "x y " * 900), (3, "é" * 2500 + " a " + "b" * 2500)]
+    rows += [rows[1]]
+    got = token_count.token_count(frame(spark, rows), BPE, chunk=256, overlap=16)
+    tokenizer = tokens.load(BPE).tokenizer
+    expected = [(i, len(t.encode()), n := len(tokenizer.encode(t, add_special_tokens=False).ids), n > 1024) for i, t in rows]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "word_bpe_49k.json"])
+def test_token_counts_of_other_files(spark, name):
+    path = public_tokenizers.path(name)
+    rows = [(1, " ".join(f"word{k % 97} and" for k in range(900))), (2, "short one"), (3, None)]
+    got = token_count.token_count(frame(spark, rows), path, chunk=1024, overlap=128)
+    assert {r["doc_id"]: r["n_tokens"] for r in got.collect()} == {i: tokens.load(path).count(t or "") for i, t in rows}

@@ -164,6 +164,23 @@ def slices(batches, limit: int = 1 << 20):
         give_back()
 
 
+def packs(batches, limit: int):
+    """Record batches, joined or cut so that the first string column holds about limit bytes in each."""
+    held, size = [], 0
+
+    def joined():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    for batch in slices(batches, limit):
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit // 2:
+            yield from joined()
+            held, size = [], 0
+    if held:
+        yield from joined()
+
+
 def rows_of(batch):
     """The rows of a batch as dictionaries, one at a time: rows here may be megabytes each."""
     for k in range(batch.num_rows):

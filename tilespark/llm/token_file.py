@@ -23,12 +23,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, partitions, written
+from .common import give_back, packs, partitions, written
 from .tokens import load
 
 PLANES = {"byte": 4, "bit": 32}
 #: Stands for a range of ids that begins with a null.
 FIRST = -(2**63)
+#: Bytes of text that are encoded at once; a longer text is encoded alone.
+SLICE = 8 << 20
 
 
 def encode_block(ids: np.ndarray, mode: str, level: int = 1) -> list[bytes]:
@@ -79,33 +81,44 @@ SEGMENT_SCHEMA = "part long, inner long, doc_ids array<long>, doc_lengths array<
 
 
 def _encode(path: str, end_id: int, block: int, segment: int, mode: str):
-    end = np.asarray([end_id], dtype="<u4").tobytes()
-
     def run(batches):
         tokenizer = load(path)
-        part, inner, ids, lengths, packed, held = None, 0, [], [], [], 0
+        part, inner, keys, lengths, packed, held = None, 0, [], [], [], 0
 
         def out():
-            flat = np.frombuffer(b"".join(packed), dtype="<u4")
+            flat, own = np.concatenate(packed), np.concatenate(lengths)
             data, index = encode_segment(flat, block, mode)
+            ids = pa.concat_arrays(keys)
             return pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int64()), "inner": pa.array([inner], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "doc_lengths": pa.array([lengths], pa.list_(pa.int64())),
+                {"part": pa.array([part], pa.int64()), "inner": pa.array([inner], pa.int64()), "doc_ids": pa.ListArray.from_arrays([0, len(ids)], ids), "doc_lengths": pa.ListArray.from_arrays([0, len(own)], pa.array(own, pa.int64())),
                  "n_ids": pa.array([len(flat)], pa.int64()), "n_blocks": pa.array([-(-len(flat) // block)], pa.int32()), "mode": [mode], "chunk_index": pa.array([index], pa.binary()), "data": pa.array([data], pa.binary())}
             )
 
-        for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if part is None:
-                    part = FIRST if key is None else key
-                mine = tokenizer.pack(text) + end if text else end
-                ids.append(key)
-                lengths.append(len(mine) // 4)
-                packed.append(mine)
-                held += len(mine) // 4
+        for batch in packs(batches, SLICE):
+            key = batch.column("doc_id")
+            if part is None and batch.num_rows:
+                part = key[0].as_py() if key[0].is_valid else FIRST
+            ids, counts = tokenizer.packed(batch.column("text"))
+            counts = counts + 1
+            ends = np.cumsum(counts)
+            every = np.empty(int(ends[-1]), dtype="<u4")
+            last = np.zeros(len(every), dtype=bool)
+            last[ends - 1] = True
+            every[last], every[~last] = end_id, ids
+            begin = done = 0  # rows and ids of this batch that are in segments
+            while begin < batch.num_rows:
+                stop = int(np.searchsorted(ends, done + segment - held, side="left")) + 1  # the row that fills the segment is in it
+                stop = min(stop, batch.num_rows)
+                to = int(ends[stop - 1])
+                keys.append(key.slice(begin, stop - begin))
+                lengths.append(counts[begin:stop])
+                packed.append(every[done:to])
+                held += to - done
+                begin, done = stop, to
                 if held >= segment:
                     yield out()
-                    inner, ids, lengths, packed, held = inner + held, [], [], [], 0
-        if ids:
+                    inner, keys, lengths, packed, held = inner + held, [], [], [], 0
+        if keys:
             yield out()
         give_back()
 
