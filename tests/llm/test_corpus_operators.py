@@ -270,6 +270,54 @@ def test_line_dedup(spark, long_list):
     assert cleaned == "\n".join(x for k, x in enumerate(rows[0][1].split("\n")) if k not in gone)
 
 
+def removed(got):
+    return sorted(((r["doc_id"], r["n_lines"], r["removed"]) for r in got.collect()), key=str)
+
+
+def test_line_dedup_whatever_the_splits(spark, tmp_path):
+    """Files are split otherwise between the call and the action, as when executors come or go; rows repeat, ids are null."""
+    rng = random.Random(7)
+    lines = ["".join(rng.choices("abcdefgh ", k=rng.choice([5, 30, 60]))) for _ in range(30)]
+    rows = [(k // 2 if k % 7 else None, "\n".join(rng.choices(lines, k=rng.randrange(0, 9)))) for k in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "docs"))
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    found = []
+    try:
+        for first, second in ((1, 1), (1, 16), (8, 2)):
+            spark.conf.set("spark.sql.files.minPartitionNum", first)
+            got = line_dedup.line_dedup(spark.read.parquet(str(tmp_path / "docs")))
+            spark.conf.set("spark.sql.files.minPartitionNum", second)
+            found.append(removed(got))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if before is None else spark.conf.set("spark.sql.files.minPartitionNum", before)
+    # of rows with one id the first may be any; what is kept and how many lines there are is the same
+    plain = plain_lines(rows, 2, 24)
+    for one in found:
+        assert sorted(((i, n) for i, n, _ in one), key=str) == sorted(((i, n) for i, n, _ in plain), key=str)
+        assert sum(len(x) for *_, x in one) == sum(len(x) for *_, x in plain)
+
+
+@pytest.mark.parametrize("kind", ["one field", "two fields", "lengths"])
+def test_line_dedup_of_templates(spark, kind):
+    rng = random.Random(3)
+    w = lambda n, of: "".join(rng.choices(of, k=rng.choice(n)))
+    make = {
+        "one field": lambda: f"the order number {w([8], '0123456789')} was shipped to you today",
+        "two fields": lambda: f"the {w([2, 3], '012')} was shipped with {w([2], '01')} to {w([0, 1, 2], 'ab')} today",
+        "lengths": lambda: f"the order number {w([5, 6, 7], '01')} was shipped to you today",
+    }[kind]
+    rows = [(k, make()) for k in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert removed(line_dedup.line_dedup(df, long_list=2)) == plain_lines(rows, 2, 24)
+
+
+def test_line_dedup_of_very_long_and_odd_lines(spark):
+    long = "".join(random.Random(2).choices("abcdefgh", k=30_000))
+    rows = [(1, long), (2, long[:9] + "Z" + long[9:]), (3, long[1:-1]), (4, long[500:]), (5, "\x01" * 30), (6, "\x01" * 31), (7, "日本語" * 10), (8, "日本語" * 9 + "日x語"), (9, "   "), (10, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert [r["doc_id"] for r in line_dedup.line_dedup(df).where("n_removed > 0").orderBy("doc_id").collect()] == [2, 3, 6, 8]
+
+
 # ---------------------------------------------------------------- toxicity
 
 

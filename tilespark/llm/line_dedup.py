@@ -4,16 +4,23 @@ Two lines are near copies if their edit distance is at most `tau`. If a line is
 length, tau edits leave one of them whole, and it stands in the other line not far from its place. So:
 
 1. Equal lines are one line, named by the md5 of its text; from here on only distinct lines of `min_chars` or more take
-   part. Shorter lines are only compared for equality.
+   part. Shorter lines are only compared for equality. One scan names rows and lines and is written; everything that is
+   said about a row later comes from that table, so the result doesn't depend on how files are split.
 2. Index: for each line, a hash of (length, segment number, segment).
 3. Probe: for each line and each length from its own down to tau less, hashes of the substrings that can face a segment
    of a line of that length. Of the start positions only those within (i - 1) of the segment's place from the left and
    within (tau + 1 - i) of it from the right, for segment i, are taken: fewer edits than that lie on either side.
 4. A segment that more than `long_list` lines have at one place and length says little: such lines are cut into
    tau + 2 segments instead, of which two stay whole, and pairs of segments are probed.
-5. Candidates are verified by a banded bit-parallel automaton: row d holds, in 2 tau + 1 bits, which prefixes of one
-   line near the diagonal are within d edits of the other's prefix; one step for each character does all rows.
-6. Links make classes; of each class the first occurrence, by doc_id and line number, stays.
+5. Lines that still meet in lists of more than eight times that are made from a template. What all lines of a list begin and end with
+   is taken off; the rest is cut into eight segments, of which tau edits touch tau at most, and lines meet if all others
+   are equal (`refined`). Where such lists are long again, only the touched segments are looked at, again in eight,
+   until segments are single characters. The work grows with the lines, not with the pairs of a template.
+6. Pairs whose counts of some letters differ by more than 2 tau in all aren't near copies: an edit changes two counts by
+   one at most. The others are verified by a banded bit-parallel automaton: row d holds, in 2 tau + 1 bits, which
+   prefixes of one line near the diagonal are within d edits of the other's prefix; one step for each character does
+   all rows. It runs from the first to the last character in which the lines differ.
+7. Links make classes; of each class the first occurrence, by doc_id and line number, stays.
 """
 
 from __future__ import annotations
@@ -48,8 +55,22 @@ def _key(line: Column, n: Column, m: Column, parts: int, cut: list[tuple[Column,
     return F.when(fits, F.xxhash64(*pieces))
 
 
+def _one(line: Column, n: Column, rows: list[tuple[int, int, int]], parts: int) -> Column:
+    """Hashes of (length of the other line, segment number, the substring that faces it) for single segments, which
+    always lie within the line. Spelled out for each: generated code is some ten times as fast as a lambda."""
+
+    def key(less: int, i: int, shift: int) -> Column:
+        m = n - less if less else n
+        a, size = segment(m, parts, F.lit(i))
+        return F.xxhash64(m, F.lit(i), line.substr(a + shift, size))
+
+    return F.array(*[key(*row) for row in rows])
+
+
 def index_keys(line: Column, n: Column, parts: int, matches: int) -> Column:
     """A hash for each choice of `matches` segments of the line."""
+    if matches == 1:
+        return _one(line, n, [(0, i, 0) for i in range(1, parts + 1)], parts)
     names, rows = [f"i{k}" for k in range(matches)], list(combinations(range(1, parts + 1), matches))
     return F.transform(_choices(rows, names), lambda x: _key(line, n, n, parts, [(x[i], F.lit(0)) for i in names]))
 
@@ -74,6 +95,8 @@ def probes(tau: int, parts: int, matches: int) -> list[tuple[int, ...]]:
 
 def probe_keys(line: Column, n: Column, tau: int, parts: int, matches: int) -> Column:
     """Hashes of the substrings, or choices of them, that can face segments of a line that is up to tau shorter."""
+    if matches == 1:
+        return _one(line, n, probes(tau, parts, 1), parts)
     names = ["less", *(f"{c}{k}" for k in range(matches) for c in "is")]
     keys = F.transform(_choices(probes(tau, parts, matches), names), lambda x: _key(line, n, n - x["less"], parts, [(x[f"i{k}"], x[f"s{k}"]) for k in range(matches)]))
     return F.filter(keys, lambda x: x.isNotNull())
@@ -84,9 +107,39 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _agree(a: Column, b: Column) -> Column:
+    """How many characters two arrays have in common from the first on."""
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
+    return F.when(differ > 0, differ.cast("int") - 1).otherwise(F.least(F.size(a), F.size(b)))
+
+
 def within(a: Column, b: Column, tau: int) -> Column:
-    """Whether the edit distance of two texts, whose lengths differ by at most tau, is at most tau."""
-    return _let(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), lambda p: _within(p["a"], p["b"], tau))
+    """Whether the edit distance of two texts, whose lengths differ by at most tau, is at most tau. What both begin and end
+    with changes no distance and is taken off first."""
+    pair = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))
+    rest = lambda x, k: F.slice(x, k + 1, F.size(x) - k)
+    no_head = _let(pair, lambda p: _let(_agree(p["a"], p["b"]), lambda k: F.struct(F.reverse(rest(p["a"], k)).alias("a"), F.reverse(rest(p["b"], k)).alias("b"))))
+    core = _let(no_head, lambda p: _let(_agree(p["a"], p["b"]), lambda k: F.struct(F.reverse(rest(p["a"], k)).alias("a"), F.reverse(rest(p["b"], k)).alias("b"))))
+    return _let(core, lambda p: F.when(F.least(F.size(p["a"]), F.size(p["b"])) == 0, F.greatest(F.size(p["a"]), F.size(p["b"])) <= tau).otherwise(_within(p["a"], p["b"], tau)))
+
+
+#: Letters that are counted, and the most that a count says.
+COUNTED, MOST = "eanirots", 255
+
+
+def letter_counts(line: Column) -> Column:
+    """The counts of some letters, packed in bytes of one number."""
+    counts = [F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(MOST)).cast("long") for c in COUNTED]
+    packed = counts[0]
+    for k, c in enumerate(counts[1:], 1):
+        packed = packed.bitwiseOR(F.shiftleft(c, 8 * k))
+    return packed
+
+
+def may_be_near(x: Column, y: Column, tau: int) -> Column:
+    """False only if the letter counts of two lines show that they are more than tau edits apart."""
+    count = lambda packed, k: F.shiftrightunsigned(packed, 8 * k).bitwiseAND(F.lit(MOST).cast("long"))
+    return sum((F.abs(count(x, k) - count(y, k)) for k in range(len(COUNTED))), F.lit(0)) <= 2 * tau
 
 
 def _within(a: Column, b: Column, tau: int) -> Column:
@@ -121,10 +174,93 @@ def _within(a: Column, b: Column, tau: int) -> Column:
     return F.shiftrightunsigned(last, tau * width).bitwiseAND(accepting) != 0
 
 
+# ---------------------------------------------------------------- lists of templated lines
+
+#: Lists of templated lines are refined from so many times long_list on: one line costs some 250 keys in each round.
+TEMPLATE = 8
+#: Segments of what is left of templated lines, and what stands for equal text between the segments that are left.
+PARTS, CUT_OUT = 8, "\x01\x01\x01\x01"
+
+
+def _touched(tau: int) -> list[tuple[int, ...]]:
+    """(segments that may differ, then how far the text after each is shifted) of all ways in which tau edits can lie in
+    tau of PARTS segments; the last shift is how much shorter the other text is."""
+    shifts = [s for s in product(range(-tau, tau + 1), repeat=tau) if s[-1] >= 0 and sum(abs(b - a) for a, b in zip((0, *s), s)) <= tau]
+    return [(*choice, *s) for choice in combinations(range(1, PARTS + 1), tau) for s in shifts]
+
+
+def _spots(x: Column, n: Column, t: Column, tau: int) -> tuple[list[Column], list[Column], Column]:
+    """For one way of _touched: the substrings that are equal, those that may differ, and whether all fit."""
+    m = n - t[f"s{tau - 1}"]
+    same, differ, fits, at, shift = [], [], m >= 0, F.lit(1), F.lit(0)
+    for k in range(tau):
+        a, size = segment(m, PARTS, t[f"e{k}"])
+        same.append(x.substr(at + shift, a - at))
+        differ.append(x.substr(a + shift, size + t[f"s{k}"] - shift))
+        fits = fits & (size + t[f"s{k}"] - shift >= 0)
+        at, shift = a + size, t[f"s{k}"]
+    return [*same, x.substr(at + shift, m - at + 1)], differ, fits
+
+
+def _refine(members: DataFrame, tau: int) -> tuple[DataFrame, DataFrame]:
+    """(index, probes) of (list, id, x): a row for each way that a text can differ in, with the key of what is equal."""
+    names = [f"e{k}" for k in range(tau)] + [f"s{k}" for k in range(tau)]
+    ways = _touched(tau)
+
+    def keyed(rows):
+        def one(t):
+            same, _, fits = _spots(F.col("x"), F.col("n"), t, tau)
+            return F.when(fits, F.struct(F.xxhash64("list", F.col("n") - t[f"s{tau - 1}"], *[t[f"e{k}"] for k in range(tau)], *same).alias("key"), t.alias("t")))
+
+        found = members.withColumn("k", F.explode(F.filter(F.transform(_choices(rows, names), one), lambda x: x.isNotNull())))
+        return found.select("id", "x", "n", "k.key", "k.t")
+
+    unmoved = [w for w in ways if not any(w[tau:])]
+    return keyed(unmoved), keyed([w for w in ways if any(w[tau:])])
+
+
+def refined(members: DataFrame, tau: int, long_list: int) -> DataFrame:
+    """Pairs (a, b) of lines of a list that may be within tau edits. members: (list, id, line); all pairs within tau edits
+    that share a list are among the result."""
+    ends = members.groupBy("list").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.min(F.reverse("line")).alias("ra"), F.max(F.reverse("line")).alias("rb"), F.min(F.char_length("line")).alias("least"))
+    agree = lambda a, b: _agree(F.split(a, ""), F.split(b, ""))
+    ends = ends.select("list", agree("a", "b").alias("head"), agree("ra", "rb").alias("tail"), "least").withColumn("tail", F.least("tail", F.col("least") - F.col("head")))
+    ends = small(ends.select("list", "head", "tail"), "template-ends")
+    x = F.col("line").substr(F.col("head") + 1, F.char_length("line") - F.col("head") - F.col("tail"))
+    left = written(members.join(ends, "list").select("list", "id", x.alias("x")).withColumn("n", F.char_length("x")), "template-rests")
+    pairs = None
+    while True:
+        index, probe = (written(rows, "template-keys") for rows in _refine(left, tau))
+        lists = written(index.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub"), F.max("n").alias("n")).where("size > 1"), "template-lists")
+        long = small(lists.where(f"size > {long_list}").select("key", "hub", (F.col("n") <= PARTS).alias("last")), "template-long-lists")
+        short = index.join(long, "key", "left_anti").select(F.col("id").alias("b"), "key")
+        own = short.join(short.select(F.col("b").alias("a"), "key"), "key").select("a", "b")
+        # segments of single characters: lines of an unmoved list differ in tau places at most, so one of them links all
+        last = long.where("last")
+        own = own.union(index.join(last, "key").select(F.col("hub").alias("a"), F.col("id").alias("b")))
+        final = index.join(long.where("not last"), "key", "left_anti").select(F.col("id").alias("b"), "key")
+        moved = probe.select(F.col("id").alias("a"), "key").join(final, "key").select("a", "b")
+        found = own.union(moved).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = written(found, "template-pairs")
+        pairs = found if pairs is None else pairs.union(found)
+        again = long.where("not last").select("key")
+        if again.isEmpty():
+            return pairs
+        # only what may differ is looked at again; what is equal between is cut short
+        _, differ, _ = _spots(F.col("x"), F.col("n"), F.col("t"), tau)
+        left = index.join(again, "key").union(probe.join(again, "key")).select(F.col("key").alias("list"), "id", F.concat_ws(CUT_OUT, *differ).alias("x"))
+        left = written(left.withColumn("n", F.char_length("x")).distinct(), "template-rests")
+
+
+# ---------------------------------------------------------------- the operator
+
+
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, pos, line) of every line; row tells repeated rows apart. Null texts have no lines."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.split(F.col(text_col), "\n").alias("lines"))
-    return rows.select("doc_id", "row", F.posexplode("lines").alias("pos", "line"))
+    """(doc_id, row, ids): for each row of docs the names of its lines, null for blank ones; row tells repeated rows apart.
+    Null texts have no lines."""
+    name = lambda x: F.when(F.trim(x) != "", F.unhex(F.md5(x)))
+    ids = F.coalesce(F.transform(F.split(F.col(text_col), "\n"), name), F.array().cast("array<binary>"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), ids.alias("ids"))
 
 
 def candidates(lines: DataFrame, tau: int, long_list: int) -> DataFrame:
@@ -139,50 +275,59 @@ def candidates(lines: DataFrame, tau: int, long_list: int) -> DataFrame:
     rare = index.join(crowded, "key", "left_anti")
     joined = probe.select(F.col("id").alias("a"), "key").join(rare.select(F.col("id").alias("b"), "key"), "key")
     pairs = joined.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if crowded.isEmpty():
+        return pairs.distinct()
     # lines of crowded segments meet again by two segments of one more
     again = small(index.join(crowded, "key", "left_semi").select("id").union(probe.join(crowded, "key", "left_semi").select("id")).distinct(), "crowded-lines")
-    few = lines.join(again, "id", "left_semi").dropDuplicates(["id"])
-    fine_probe = few.select(F.col("id").alias("a"), F.explode(probe_keys(line, n, tau, tau + 2, 2)).alias("key"))
-    fine_index = few.select(F.col("id").alias("b"), F.explode(index_keys(line, n, tau + 2, 2)).alias("key"))
-    fine = fine_probe.join(fine_index, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.union(fine).distinct()
+    few = written(lines.join(again, "id", "left_semi").dropDuplicates(["id"]).select("id", "line", "n"), "crowded-texts")
+    fine_probe = written(few.select("id", F.explode(probe_keys(line, n, tau, tau + 2, 2)).alias("key")), "crowded-probes")
+    fine_index = written(few.select("id", F.explode(index_keys(line, n, tau + 2, 2)).alias("key")), "crowded-index")
+    template = TEMPLATE * long_list
+    lists = small(fine_index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > template).select("key"), "template-keys")
+    fine = fine_probe.select(F.col("id").alias("a"), "key").join(fine_index.join(lists, "key", "left_anti").select(F.col("id").alias("b"), "key"), "key")
+    pairs = pairs.union(fine.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    if not lists.isEmpty():
+        members = fine_index.join(lists, "key").union(fine_probe.join(lists, "key")).select(F.col("key").alias("list"), "id").distinct()
+        pairs = pairs.union(refined(members.join(few, "id").select("list", "id", "line"), tau, template))
+    return pairs.distinct()
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 24, long_list: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(places, classes): (doc_id, row, pos, id) of every line, and (id, class) of the distinct lines that are linked
-    with another one."""
-    lines = occurrences(docs, id_col, text_col)
-    named = lines.select("doc_id", "row", "pos", F.unhex(F.md5("line")).alias("id"), F.char_length("line").alias("n"), "line")
-    places = written(named.where(F.trim("line") != "").select("doc_id", "row", "pos", "id"), "line-places")
-    long = named.where((F.col("n") >= max(min_chars, tau + 2)) & (F.trim("line") != ""))
-    pairs = written(candidates(long.select("id", "line", "n"), tau, long_list), "line-pairs")
+    """(rows, classes): occurrences(docs), written, and (id, class) of the distinct lines that are linked with another
+    one."""
+    rows = written(occurrences(docs, id_col, text_col), "line-places")
+    lines = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).where(F.trim("line") != "")
+    long = lines.select(F.unhex(F.md5("line")).alias("id"), F.char_length("line").alias("n"), "line").where(F.col("n") >= max(min_chars, tau + 2))
+    pairs = written(candidates(long, tau, long_list), "line-pairs")
     wanted = small(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "line-candidates")
-    texts = written(long.join(wanted, "id", "left_semi").select("id", "line").dropDuplicates(["id"]), "line-texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    both = both.where(F.abs(F.char_length("x") - F.char_length("y")) <= tau)
-    links = written(both.where(within(F.col("x"), F.col("y"), tau)).select("a", "b"), "line-links")
-    classes = components(links.select("a", "b"))
-    return places, classes.select(F.col("node").alias("id"), F.col("component").alias("class"))
+    texts = written(long.join(wanted, "id", "left_semi").select("id", "line", letter_counts(F.col("line")).alias("counts")).dropDuplicates(["id"]), "line-texts")
+    side = lambda name, column: texts.select(F.col("id").alias(name), F.col(column).alias(f"{column}_{name}"))
+    near = pairs.join(side("a", "counts"), "a").join(side("b", "counts"), "b").where(may_be_near(F.col("counts_a"), F.col("counts_b"), tau)).select("a", "b")
+    both = near.join(side("a", "line"), "a").join(side("b", "line"), "b").where(F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau)
+    links = written(both.where(within(F.col("line_a"), F.col("line_b"), tau)).select("a", "b"), "line-links")
+    classes = components(links)
+    return rows, classes.select(F.col("node").alias("id"), F.col("component").alias("class"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 24, long_list: int = 64) -> DataFrame:
-    """One row for each row of docs that has text: doc_id, n_lines (lines that aren't blank), n_removed, removed (their
-    numbers from 0, ascending).
+    """One row for each row of docs: doc_id, n_lines (lines that aren't blank), n_removed, removed (their numbers from 0,
+    ascending).
 
     Of each class of equal or linked lines the occurrence with the least (doc_id, line number) stays; a null id comes
     first, and repeated rows are told apart by their place. Blank lines are neither counted nor removed. Lines under
     min_chars characters are only removed if equal. Null and empty texts, and texts of blank lines, have 0 lines. An
     empty table gives no rows. Other columns are not read."""
-    places, classes = line_classes(docs, id_col, text_col, tau, min_chars, long_list)
+    rows, classes = line_classes(docs, id_col, text_col, tau, min_chars, long_list)
+    places = rows.select("doc_id", "row", F.posexplode("ids").alias("pos", "id")).where("id is not null")
     first = F.struct("doc_id", "row", "pos")
     # pre-aggregated by line, so that a line that is everywhere is one row before it meets its class
     by_line = places.groupBy("id").agg(F.min(first).alias("first"), F.count("*").alias("n"))
     by_line = by_line.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
     heads = by_line.groupBy("class").agg(F.min("first").alias("head"), F.sum("n").alias("n")).where("n > 1")
     repeated = by_line.select("id", "class").join(heads.select("class", "head"), "class").select("id", "head")
-    gone = places.join(repeated, "id").where(F.col("head") != first).groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
-    counts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.trim(x) != "")).cast("long").alias("n_lines"))
-    out = counts.join(gone.select("row", "removed"), "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    gone = places.join(repeated, "id").where(F.col("head") != first).groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
+    out = rows.select("doc_id", "row", F.size(F.filter("ids", lambda x: x.isNotNull())).cast("long").alias("n_lines")).join(gone, "row", "left")
+    out = out.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
