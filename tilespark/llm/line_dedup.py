@@ -17,7 +17,7 @@ length, tau edits leave one of them whole, and it stands in the other line not f
    are equal (`refined`). Where such lists are long again, only the touched segments are looked at, again in eight,
    until segments are single characters. The work grows with the lines, not with the pairs of a template.
 6. Pairs whose counts of some letters differ by more than 2 tau in all aren't near copies: an edit changes two counts by
-   one at most. The others are verified by a banded bit-parallel automaton: row d holds, in 2 tau + 1 bits, which
+   one at most. Where lists are long, such pairs are ruled out as they meet. The others are verified by a banded bit-parallel automaton: row d holds, in 2 tau + 1 bits, which
    prefixes of one line near the diagonal are within d edits of the other's prefix; one step for each character does
    all rows. It runs from the first to the last character in which the lines differ.
 7. Links make classes; of each class the first occurrence, by doc_id and line number, stays.
@@ -213,42 +213,47 @@ def _refine(members: DataFrame, tau: int) -> tuple[DataFrame, DataFrame]:
             return F.when(fits, F.struct(F.xxhash64("list", F.col("n") - t[f"s{tau - 1}"], *[t[f"e{k}"] for k in range(tau)], *same).alias("key"), t.alias("t")))
 
         found = members.withColumn("k", F.explode(F.filter(F.transform(_choices(rows, names), one), lambda x: x.isNotNull())))
-        return found.select("id", "x", "n", "k.key", "k.t")
+        return found.select("id", "counts", "x", "n", "k.key", "k.t")
 
     unmoved = [w for w in ways if not any(w[tau:])]
     return keyed(unmoved), keyed([w for w in ways if any(w[tau:])])
 
 
+def _meet(probe: DataFrame, index: DataFrame, tau: int) -> DataFrame:
+    """Pairs (a, b) of lines with equal keys whose letter counts are near enough. Both have (id, key, counts)."""
+    a, b = (rows.select(F.col("id").alias(name), F.col("counts").alias(f"counts_{name}"), "key") for rows, name in ((probe, "a"), (index, "b")))
+    met = a.join(b, (a.key == b.key) & (F.col("a") != F.col("b")) & may_be_near(F.col("counts_a"), F.col("counts_b"), tau))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def refined(members: DataFrame, tau: int, long_list: int) -> DataFrame:
-    """Pairs (a, b) of lines of a list that may be within tau edits. members: (list, id, line); all pairs within tau edits
-    that share a list are among the result."""
+    """Pairs (a, b) of lines of a list that may be within tau edits. members: (list, id, line, counts); all pairs within tau
+    edits that share a list are among the result."""
     ends = members.groupBy("list").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.min(F.reverse("line")).alias("ra"), F.max(F.reverse("line")).alias("rb"), F.min(F.char_length("line")).alias("least"))
     agree = lambda a, b: _agree(F.split(a, ""), F.split(b, ""))
     ends = ends.select("list", agree("a", "b").alias("head"), agree("ra", "rb").alias("tail"), "least").withColumn("tail", F.least("tail", F.col("least") - F.col("head")))
     ends = small(ends.select("list", "head", "tail"), "template-ends")
     x = F.col("line").substr(F.col("head") + 1, F.char_length("line") - F.col("head") - F.col("tail"))
-    left = written(members.join(ends, "list").select("list", "id", x.alias("x")).withColumn("n", F.char_length("x")), "template-rests")
+    left = written(members.join(ends, "list").select("list", "id", "counts", x.alias("x")).withColumn("n", F.char_length("x")), "template-rests")
     pairs = None
     while True:
         index, probe = (written(rows, "template-keys") for rows in _refine(left, tau))
         lists = written(index.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub"), F.max("n").alias("n")).where("size > 1"), "template-lists")
         long = small(lists.where(f"size > {long_list}").select("key", "hub", (F.col("n") <= PARTS).alias("last")), "template-long-lists")
-        short = index.join(long, "key", "left_anti").select(F.col("id").alias("b"), "key")
-        own = short.join(short.select(F.col("b").alias("a"), "key"), "key").select("a", "b")
+        short = index.join(long, "key", "left_anti")
+        own = _meet(short, short, tau)
         # segments of single characters: lines of an unmoved list differ in tau places at most, so one of them links all
         last = long.where("last")
-        own = own.union(index.join(last, "key").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-        final = index.join(long.where("not last"), "key", "left_anti").select(F.col("id").alias("b"), "key")
-        moved = probe.select(F.col("id").alias("a"), "key").join(final, "key").select("a", "b")
-        found = own.union(moved).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = written(found, "template-pairs")
+        hubs = index.join(last, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        moved = _meet(probe, index.join(long.where("not last"), "key", "left_anti"), tau)
+        found = written(own.union(hubs).union(moved).distinct(), "template-pairs")
         pairs = found if pairs is None else pairs.union(found)
         again = long.where("not last").select("key")
         if again.isEmpty():
             return pairs
         # only what may differ is looked at again; what is equal between is cut short
         _, differ, _ = _spots(F.col("x"), F.col("n"), F.col("t"), tau)
-        left = index.join(again, "key").union(probe.join(again, "key")).select(F.col("key").alias("list"), "id", F.concat_ws(CUT_OUT, *differ).alias("x"))
+        left = index.join(again, "key").union(probe.join(again, "key")).select(F.col("key").alias("list"), "id", "counts", F.concat_ws(CUT_OUT, *differ).alias("x"))
         left = written(left.withColumn("n", F.char_length("x")).distinct(), "template-rests")
 
 
@@ -279,16 +284,15 @@ def candidates(lines: DataFrame, tau: int, long_list: int) -> DataFrame:
         return pairs.distinct()
     # lines of crowded segments meet again by two segments of one more
     again = small(index.join(crowded, "key", "left_semi").select("id").union(probe.join(crowded, "key", "left_semi").select("id")).distinct(), "crowded-lines")
-    few = written(lines.join(again, "id", "left_semi").dropDuplicates(["id"]).select("id", "line", "n"), "crowded-texts")
-    fine_probe = written(few.select("id", F.explode(probe_keys(line, n, tau, tau + 2, 2)).alias("key")), "crowded-probes")
-    fine_index = written(few.select("id", F.explode(index_keys(line, n, tau + 2, 2)).alias("key")), "crowded-index")
+    few = written(lines.join(again, "id", "left_semi").dropDuplicates(["id"]).select("id", "line", "n", letter_counts(line).alias("counts")), "crowded-texts")
+    fine_probe = written(few.select("id", "counts", F.explode(probe_keys(line, n, tau, tau + 2, 2)).alias("key")), "crowded-probes")
+    fine_index = written(few.select("id", "counts", F.explode(index_keys(line, n, tau + 2, 2)).alias("key")), "crowded-index")
     template = TEMPLATE * long_list
     lists = small(fine_index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > template).select("key"), "template-keys")
-    fine = fine_probe.select(F.col("id").alias("a"), "key").join(fine_index.join(lists, "key", "left_anti").select(F.col("id").alias("b"), "key"), "key")
-    pairs = pairs.union(fine.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    pairs = pairs.union(_meet(fine_probe, fine_index.join(lists, "key", "left_anti"), tau))
     if not lists.isEmpty():
         members = fine_index.join(lists, "key").union(fine_probe.join(lists, "key")).select(F.col("key").alias("list"), "id").distinct()
-        pairs = pairs.union(refined(members.join(few, "id").select("list", "id", "line"), tau, template))
+        pairs = pairs.union(refined(members.join(few, "id").select("list", "id", "line", "counts"), tau, template))
     return pairs.distinct()
 
 
