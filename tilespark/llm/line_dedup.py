@@ -12,12 +12,12 @@ length, tau edits leave one of them whole, and it stands in the other line not f
    within (tau + 1 - i) of it from the right, for segment i, are taken: fewer edits than that lie on either side.
 4. A segment that more than `long_list` lines have at one place and length says little: such lines are cut into
    tau + 2 segments instead, of which two stay whole, and pairs of segments are probed.
-5. Lines that still meet in lists of more than eight times that are made from a template. What all lines of a list begin and end with
+5. Lines that still meet in lists of more than eight times that are made from a template. What all such lines of a list begin and end with
    is taken off; the rest is cut into eight segments, of which tau edits touch tau at most, and lines meet if all others
    are equal (`refined`). Where such lists are long again, only the touched segments are looked at, again in eight,
    until segments are single characters. The work grows with the lines, not with the pairs of a template.
-6. Pairs whose counts of some letters differ by more than 2 tau in all aren't near copies: an edit changes two counts by
-   one at most. Where lists are long, such pairs are ruled out as they meet. The others are verified by a banded bit-parallel automaton: row d holds, in 2 tau + 1 bits, which
+6. Pairs whose counts of some characters differ by more than 2 tau in all aren't near copies, as an edit changes two counts
+   by one at most. They are ruled out first, those of crowded lines as they meet. All others are verified by a banded bit-parallel automaton: row d holds, in 2 tau + 1 bits, which
    prefixes of one line near the diagonal are within d edits of the other's prefix; one step for each character does
    all rows. It runs from the first to the last character in which the lines differ.
 7. Links make classes; of each class the first occurrence, by doc_id and line number, stays.
@@ -123,23 +123,32 @@ def within(a: Column, b: Column, tau: int) -> Column:
     return _let(core, lambda p: F.when(F.least(F.size(p["a"]), F.size(p["b"])) == 0, F.greatest(F.size(p["a"]), F.size(p["b"])) <= tau).otherwise(_within(p["a"], p["b"], tau)))
 
 
-#: Letters that are counted, and the most that a count says.
-COUNTED, MOST = "eanirots", 255
+#: Characters that are counted, sixteen to a number.
+COUNTED = ("etaoinshrdlucmfw", "ypvbgkjqxz .,-01")
 
 
-def letter_counts(line: Column) -> Column:
-    """The counts of some letters, packed in bytes of one number."""
-    counts = [F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(MOST)).cast("long") for c in COUNTED]
-    packed = counts[0]
-    for k, c in enumerate(counts[1:], 1):
-        packed = packed.bitwiseOR(F.shiftleft(c, 8 * k))
-    return packed
+def letter_counts(line: Column, groups: tuple[str, ...] = COUNTED) -> Column:
+    """The counts of some characters modulo 16, packed in a number for each group."""
 
+    def packed(letters: str) -> Column:
+        out = F.lit(0).cast("long")
+        for k, c in enumerate(letters):
+            count = (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(15).cast("long"))
+            out = out.bitwiseOR(F.shiftleft(count, 4 * k))
+        return out
 
-def may_be_near(x: Column, y: Column, tau: int) -> Column:
-    """False only if the letter counts of two lines show that they are more than tau edits apart."""
-    count = lambda packed, k: F.shiftrightunsigned(packed, 8 * k).bitwiseAND(F.lit(MOST).cast("long"))
-    return sum((F.abs(count(x, k) - count(y, k)) for k in range(len(COUNTED))), F.lit(0)) <= 2 * tau
+    return F.struct(*[packed(letters).alias(f"c{k}") for k, letters in enumerate(groups)])
+
+
+def may_be_near(x: Column, y: Column, tau: int, groups: tuple[str, ...] = COUNTED) -> Column:
+    """False only if the counts of two lines show that they are more than tau edits apart. Modulo 16 a difference can look
+    smaller than it is, the shorter way round, but never larger."""
+
+    def apart(field: str, k: int) -> Column:
+        a, b = (F.shiftrightunsigned(v[field], 4 * k).bitwiseAND(F.lit(15).cast("long")) for v in (x, y))
+        return F.least(F.abs(a - b), 16 - F.abs(a - b))
+
+    return sum((apart(f"c{i}", k) for i, letters in enumerate(groups) for k in range(len(letters))), F.lit(0)) <= 2 * tau
 
 
 def _within(a: Column, b: Column, tau: int) -> Column:
@@ -277,13 +286,15 @@ def candidates(lines: DataFrame, tau: int, long_list: int) -> DataFrame:
     once = written(keyed.groupBy("id").agg(F.first("index").alias("index"), F.first("probe").alias("probe")), "line-keys")
     index, probe = once.select("id", F.explode("index").alias("key")), once.select("id", F.explode("probe").alias("key"))
     crowded = small(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > long_list).select("key"), "crowded-segments")
-    rare = index.join(crowded, "key", "left_anti")
-    joined = probe.select(F.col("id").alias("a"), "key").join(rare.select(F.col("id").alias("b"), "key"), "key")
-    pairs = joined.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if crowded.isEmpty():
-        return pairs.distinct()
-    # lines of crowded segments meet again by two segments of one more
+        return probe.select(F.col("id").alias("a"), "key").join(index.select(F.col("id").alias("b"), "key"), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # lines of crowded segments meet again by two segments of one more, and only there; here they meet the others
     again = small(index.join(crowded, "key", "left_semi").select("id").union(probe.join(crowded, "key", "left_semi").select("id")).distinct(), "crowded-lines")
+    marked = once.join(again.withColumn("met", F.lit(True)), "id", "left").withColumn("met", F.coalesce("met", F.lit(False)))
+    a = marked.select(F.col("id").alias("a"), F.col("met").alias("met_a"), F.explode("probe").alias("key"))
+    b = marked.select(F.col("id").alias("b"), F.col("met").alias("met_b"), F.explode("index").alias("key"))
+    met = a.join(b, (a.key == b.key) & (F.col("a") != F.col("b")) & ~(F.col("met_a") & F.col("met_b")))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     few = written(lines.join(again, "id", "left_semi").dropDuplicates(["id"]).select("id", "line", "n", letter_counts(line).alias("counts")), "crowded-texts")
     fine_probe = written(few.select("id", "counts", F.explode(probe_keys(line, n, tau, tau + 2, 2)).alias("key")), "crowded-probes")
     fine_index = written(few.select("id", "counts", F.explode(index_keys(line, n, tau + 2, 2)).alias("key")), "crowded-index")
@@ -304,9 +315,10 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     long = lines.select(F.unhex(F.md5("line")).alias("id"), F.char_length("line").alias("n"), "line").where(F.col("n") >= max(min_chars, tau + 2))
     pairs = written(candidates(long, tau, long_list), "line-pairs")
     wanted = small(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "line-candidates")
-    texts = written(long.join(wanted, "id", "left_semi").select("id", "line", letter_counts(F.col("line")).alias("counts")).dropDuplicates(["id"]), "line-texts")
+    common = COUNTED[:1]
+    texts = written(long.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", "line", letter_counts(F.col("line"), common).alias("counts")), "line-texts")
     side = lambda name, column: texts.select(F.col("id").alias(name), F.col(column).alias(f"{column}_{name}"))
-    near = pairs.join(side("a", "counts"), "a").join(side("b", "counts"), "b").where(may_be_near(F.col("counts_a"), F.col("counts_b"), tau)).select("a", "b")
+    near = pairs.join(side("a", "counts"), "a").join(side("b", "counts"), "b").where(may_be_near(F.col("counts_a"), F.col("counts_b"), tau, common)).select("a", "b")
     both = near.join(side("a", "line"), "a").join(side("b", "line"), "b").where(F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau)
     links = written(both.where(within(F.col("line_a"), F.col("line_b"), tau)).select("a", "b"), "line-links")
     classes = components(links)
