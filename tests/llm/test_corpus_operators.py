@@ -134,6 +134,36 @@ def test_keep_one_judges_rows_of_an_id_by_their_texts(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[0], rows[2], rows[5], rows[7]], key=str)
 
 
+def plain_rows(rows, n=5, percent=80):
+    """Numbers of the rows that keep_one_row keeps, by all pairs."""
+    sets = [{tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set() for w in (WORD.findall((t or "").lower()) for _, t in rows)]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    first = {}
+    for k, (i, t) in enumerate(rows):
+        if sets[k]:
+            first.setdefault(group[k], []).append((i is None, i or 0, t, k))
+    return sorted((rows[k] for k in {min(x)[-1] for x in first.values()} | {k for k in range(len(rows)) if not sets[k]}), key=str)
+
+
+def test_keep_one_row(spark):
+    t, u, v = "a b c d e f g", "quite other words stand in this one here", "one more text of nine words stands right here"
+    for rows in (
+        [(1, t), (1, t), (5, t), (5, u)],
+        [(None, t), (None, t), (3, t), (3, t), (None, u), (None, u), (None, u + " x"), (4, None), (4, None), (None, ""), (None, None), (7, " ")],
+        [(8, v), (8, v.replace(" ", "  ")), (9, v), (8, None), (2, t), (2, u), (1, u)],
+        [(k % 3, t) for k in range(40)] + [(None, v)] * 20,
+        [(1, t), (2, u)],
+    ):
+        kept = jaccard_join.keep_one_row(frame(spark, rows))
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == plain_rows(rows), rows
+        assert kept.columns == frame(spark, rows).columns
+    assert jaccard_join.keep_one_row(frame(spark, rows).where("doc_id > 5")).count() == 0
+
+
 def test_connected_components(spark):
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, 101), (103, 101), (200, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -498,6 +528,44 @@ def test_labeller_on_unseen_pages(weights):
     assert right / blocks > 0.97
 
 
+def plain_labels(page, w):
+    """The network of one page block by block, gate by gate, as written down in the papers."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    xs, out = html_extract.vectors([page])[0].astype(np.float64), np.full(len(page), float(w["bias"][0]))
+    hidden = html_extract.HIDDEN
+    for side, order, rows in (("f", range(len(page)), slice(0, hidden)), ("b", range(len(page) - 1, -1, -1), slice(hidden, None))):
+        h = c = np.zeros(hidden)
+        for t in order:
+            i, f, o, g = np.split(xs[t] @ w["w" + side] + h @ w["u" + side] + w["b" + side], 4)
+            c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
+            h = sigmoid(o) * np.tanh(c)
+            out[t] += h @ w["out"][rows]
+    return sigmoid(out)
+
+
+def test_labeller_equals_a_plain_network(weights):
+    rng, labeller = np.random.default_rng(9), html_extract.Labeller(weights)
+    pages = [p for p in (html_extract.blocks(html_pages.page(rng)[0]) for _ in range(12)) if p]
+    for page, together in zip(pages, labeller.label(pages), strict=True):
+        assert np.allclose(together, plain_labels(page, weights), atol=1e-4)
+        assert np.allclose(labeller.label_long(page, 7), together, atol=1e-4)
+
+
+def test_long_pages_are_labelled_in_pieces(weights):
+    import tracemalloc
+
+    assert html_extract.groups([0, 3, 9, 2, 40], 2, 20) == [[3, 1], [2], [4]]
+    html = "<body>" + "".join(f"<p>Block {k} of a page, and then some.</p>" for k in range(30_000)) + "</body>"
+    short = ["<body><p>Some words of a short page stand here.</p></body>"] * 63
+    labeller = html_extract.Labeller(weights)
+    labeller.label([html_extract.blocks(short[0])])
+    tracemalloc.start()
+    texts = html_extract.main_text([html, *short], labeller)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(texts) == 64 and peak < 200e6
+
+
 def test_extraction(spark, weights):
     body = "".join(f"<p>This is paragraph {k} of the story,\n with &amp; more &quot;words&quot; in it.</p>" for k in range(6))
     page = f"<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/a'>About</a></li></ul></nav><div class='ad'>Buy this now.</div><article><h1>The title of it</h1>{body}</article><footer>&copy; site</footer></body></html>"

@@ -36,6 +36,8 @@ CLOSES = {
 PATH, WORDS, NUMBERS = 512, 32, 8
 INPUT = PATH + WORDS + NUMBERS
 HIDDEN = 24
+#: Blocks times pages that are labelled at once; what the network holds meanwhile grows with it. A longer page goes in pieces.
+STEPS = 16_384
 _TOKEN = re.compile(r"[a-z]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -148,14 +150,15 @@ def word_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return counts / np.sqrt((counts * counts).sum(axis=1, keepdims=True)).clip(1), np.diff(firsts)
 
 
-def dense_vectors(pages: list[list[tuple[tuple[str, ...], str, int]]]) -> list[np.ndarray]:
-    """For each page, a row of WORDS + NUMBERS numbers for each block."""
+def dense_vectors(pages: list[list[tuple[tuple[str, ...], str, int]]], parts: list[tuple[int, int, int]] | None = None) -> list[np.ndarray]:
+    """For each page, a row of WORDS + NUMBERS numbers for each block. parts: where a page is only a part of one, the number
+    of its first block, and the blocks and characters of the whole."""
     words, n_words = word_vectors([t for page in pages for _, t, _ in page])
     rows = []
     at = 0
-    for page in pages:
-        total, n = max(1, sum(len(t) for _, t, _ in page)), len(page)
-        for k, (path, text, linked) in enumerate(page):
+    for which, page in enumerate(pages):
+        first, n, total = parts[which] if parts else (0, len(page), max(1, sum(len(t) for _, t, _ in page)))
+        for k, (path, text, linked) in enumerate(page, first):
             size = max(1, int(n_words[at]))
             rows.append((math.log1p(size) / 4, min(1.0, linked / len(text)), (text.count(".") + text.count(",")) / size, (k + 0.5) / n, text[-1] in ".!?", len(text) / total, len(path) / 16, 1.0))
             at += 1
@@ -178,9 +181,13 @@ def _sigmoid(x):
 
 def _run(pre: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: bool):
     """One direction over what the inputs give to the gates, (time, pages, 4 HIDDEN); masked steps pass the state on."""
+    return _steps(pre, mask, u, keep, None)[:2]
+
+
+def _steps(pre: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: bool, state):
+    """The same from a state (h, c) on, or from zeros; also returns the state after the last step."""
     steps, pages, _ = pre.shape
-    h = np.zeros((pages, HIDDEN), dtype=np.float32)
-    c = np.zeros_like(h)
+    h, c = state or (np.zeros((pages, HIDDEN), dtype=np.float32),) * 2
     hs, kept = np.empty((steps, pages, HIDDEN), dtype=np.float32), []
     for t in range(steps):
         z = pre[t] + h @ u
@@ -194,7 +201,7 @@ def _run(pre: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: bool):
             kept.append((i, f, o, g, c, tc, h, m))
         c, h = np.where(m, c2, c), np.where(m, h2, h)
         hs[t] = h
-    return hs, kept
+    return hs, kept, (h, c)
 
 
 def _back(x, dhs, kept, u):
@@ -254,6 +261,26 @@ class Labeller:
         return [p[: len(page), k] for k, page in enumerate(pages)]
 
 
+    def label_long(self, page: list[tuple[tuple[str, ...], str, int]], steps: int = STEPS) -> np.ndarray:
+        """The same for one long page, in pieces that pass the state on: backwards first, of which one number for each
+        block is kept, then forwards."""
+        total = max(1, sum(len(t) for _, t, _ in page))
+        sides = {}
+        for side, u, out in (("b", "ub", self.weights["out"][HIDDEN:]), ("f", "uf", self.weights["out"][:HIDDEN])):
+            columns = slice(4 * HIDDEN, None) if side == "b" else slice(None, 4 * HIDDEN)
+            given, state = np.empty(len(page), dtype=np.float32), None
+            begins = range(0, len(page), steps)
+            for at in reversed(begins) if side == "b" else begins:
+                part = page[at : at + steps]
+                x = dense_vectors([part], [(at, len(page), total)])[0] @ self.dense[:, columns] + np.stack([self._path(p)[columns] for p, _, _ in part])
+                x = x[::-1] if side == "b" else x
+                hs, _, state = _steps(x[:, None, :], np.ones((len(part), 1), dtype=bool), self.weights[u], False, state)
+                scores = hs[:, 0] @ out
+                given[at : at + steps] = scores[::-1] if side == "b" else scores
+            sides[side] = given
+        return _sigmoid(sides["f"] + sides["b"] + self.weights["bias"])
+
+
 @functools.cache
 def trained(n_pages: int = 1_500, epochs: int = 8, seed: int = 11) -> dict[str, np.ndarray]:
     """Weights after training on generated pages (Adam, cross entropy)."""
@@ -297,14 +324,25 @@ def trained(n_pages: int = 1_500, epochs: int = 8, seed: int = 11) -> dict[str,
 # ---------------------------------------------------------------- the operator
 
 
+def groups(sizes: list[int], most_pages: int = 64, most_steps: int = STEPS) -> list[list[int]]:
+    """Numbers of pages that are labelled together, of like length: at most so many, and at most so many steps times
+    pages, as all are padded to the longest. A longer page is alone."""
+    out, own = [], []
+    for k in sorted((k for k, n in enumerate(sizes) if n), key=sizes.__getitem__):
+        if own and (len(own) == most_pages or sizes[k] * (len(own) + 1) > most_steps):
+            out.append(own)
+            own = []
+        own.append(k)
+    return [*out, own] if own else out
+
+
 def main_text(pages: list[str | None], labeller: Labeller, group: int = 64) -> list[str]:
     """The main text of each page."""
     found = [blocks(html or "") for html in pages]
     out = [""] * len(pages)
-    order = sorted((k for k, b in enumerate(found) if b), key=lambda k: len(found[k]))
-    for at in range(0, len(order), group):
-        own = order[at : at + group]
-        for k, p in zip(own, labeller.label([found[k] for k in own]), strict=True):
+    for own in groups([len(b) for b in found], group):
+        label = labeller.label([found[k] for k in own]) if len(found[own[0]]) <= STEPS else [labeller.label_long(found[own[0]])]
+        for k, p in zip(own, label, strict=True):
             out[k] = " ".join(text for (_, text, _), v in zip(found[k], p.tolist(), strict=True) if v >= 0.5)
     return out
 
