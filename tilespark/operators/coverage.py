@@ -66,7 +66,13 @@ def resolve_days(counts: dict[date, int], root: Root, cap: int, has_classes: boo
 
 def tree(rows: DataFrame, day, cap: int, root: Root | None = None, has_classes: bool = True) -> DataFrame:
     """The nodes of the day axis. Without a root, it is the range of days there are; no rows give no nodes."""
-    counts = {r["day"]: r["n"] for r in day_counts(rows, day).limit(MAX_DAYS + 1).collect()}
+    days = day_counts(rows, day)
+    if root is not None:
+        days = days.where(F.col("day").between(F.lit(root.ini), F.lit(root.fim)))
+    # without a root, one day too many says that the range is too long, which resolve_days refuses
+    counts = {r["day"]: r["n"] for r in days.limit(MAX_DAYS + 1).collect()}
+    if len(counts) > MAX_DAYS:
+        raise ValueError(f"there are more than {MAX_DAYS} days")
     if root is None and counts:
         root = Root(min(counts), max(counts))
     nodes = resolve_days(counts, root, cap, has_classes) if root else []
@@ -84,8 +90,9 @@ def class_children(rows: DataFrame, day, label, nodes: DataFrame, cap: int) -> D
     sums = by_class.where("have <> ''").withColumn("want", prefixes).join(words, "want").groupBy("day", "depth", "want").agg(F.sum("k").alias("n"))
     days = by_class.select("day", "depth").distinct()
     # every day that overflows gets a child for every class, with or without rows: that is what the split means
-    vocabulary = words.agg(F.collect_set("want").alias("all"))
-    children = days.join(F.broadcast(vocabulary)).select("day", "depth", F.explode("all").alias("want"))
+    # there are at most MAX_DAYS days, so they go to the classes, of which there may be any number
+    listed = days.agg(F.collect_list(F.struct("day", "depth")).alias("all"))
+    children = words.join(F.broadcast(listed)).select(F.explode("all").alias("d"), "want").select("d.day", "d.depth", "want")
     out = children.join(sums, ["day", "depth", "want"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
     return out.select((F.col("depth") + 1).alias("depth"), F.col("day").alias("ini"), F.col("day").alias("fim"), "n", F.when(F.col("n") >= cap, "GAP").otherwise("LEAF_DONE_SECONDARY").alias("status"), F.col("want").alias("class"))
 

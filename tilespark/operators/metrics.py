@@ -11,19 +11,22 @@ from ..functions.text import label_value
 def exact_quantiles(rows: DataFrame, key: str, value: str, quantiles: list[float], cuts: int = 100) -> DataFrame:
     """(key, q, value): for each key the value at index floor(q * n) of its sorted values, the last one at most.
 
-    No key is sorted as a whole: approximate percentiles cut its values into ranges, counts of ranges say in which one
-    the wanted index lies, and only that range is ranked."""
-    rows = rows.select(F.col(key).alias("key"), F.col(value).alias("value")).where("value is not null")
-    marks = rows.groupBy("key").agg(F.percentile_approx("value", [k / cuts for k in range(1, cuts)], 1_000).alias("marks"), F.count("*").alias("n"))
-    placed = rows.join(F.broadcast(marks), "key").withColumn("part", F.expr("size(filter(marks, m -> m < value))"))
-    parts = placed.groupBy("key", "part").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    Equal values are counted first, so a value that most rows share is one row from then on. No key is sorted as a
+    whole: approximate percentiles cut its values into ranges, counts of ranges say in which one the wanted index
+    lies, and only that range is ranked. Keys may be any number: nothing is broadcast unless the planner finds it
+    small."""
+    counts = rows.select(F.col(key).alias("key"), F.col(value).alias("value")).where("value is not null").groupBy("key", "value").agg(F.count("*").alias("k"))
+    marks = counts.groupBy("key").agg(F.percentile_approx("value", [k / cuts for k in range(1, cuts)], 1_000).alias("marks"), F.sum("k").alias("n"))
+    placed = counts.join(marks, "key").withColumn("part", F.expr("size(filter(marks, m -> m < value))")).drop("marks")
+    parts = placed.groupBy("key", "part").agg(F.sum("k").alias("k"), F.first("n").alias("n"))
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0)))
     wanted = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n"))).alias("at")) for q in quantiles])).alias("w")
-    target = parts.select("key", "part", "before", "k", wanted).select("key", "part", "before", "k", "w.*").where("at >= before and at < before + k")
-    ranked = placed.join(F.broadcast(target.select("key", "part").distinct()), ["key", "part"], "left_semi")
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("key", "part").orderBy("value")))
-    hit = ranked.join(F.broadcast(target), ["key", "part"]).where(F.col("r") - 1 == F.col("at") - F.col("before"))
+    target = parts.select("key", "part", "before", "k", wanted).select("key", "part", "before", "k", "w.*").where("at >= before and at < before + k").drop("k")
+    ranked = placed.join(target.select("key", "part").distinct(), ["key", "part"], "left_semi")
+    upto = Window.partitionBy("key", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranked.select("key", "part", "value", "k", F.sum("k").over(upto).alias("upto"))
+    hit = ranked.join(target, ["key", "part"]).where("at - before >= upto - k and at - before < upto")
     return hit.select("key", "q", "value")
 
 

@@ -38,7 +38,8 @@ def q_page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A detail page for each order: nested and bold-labelled fields, a panel, repeated movements and a document."""
-    o = table(spark, sf_dir, "orders")
+    # the pages are made here: rows are dealt out first, as a table of one small file would leave the parser to one task
+    o = table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism)
     k, lit = F.col("o_orderkey").cast("string"), F.lit
     field = lambda name, value: F.concat(lit(f'<div class="propertyView"><div class="name"><label>{name}</label></div><div class="value">'), value, lit("</div></div>"))
     number = F.when(F.col("o_orderkey") % 4 == 0, lit("")).otherwise(field("Número Processo", F.concat(lit("<span> "), k, lit("&nbsp;</span>"))))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -55,20 +58,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests, local
-    mode), a temporary folder of this machine."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and the master is this
+    machine alone, a temporary folder of it. On a cluster each executor would write to its own disk, so there it raises."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share; the master is {master!r}")
         path = "file://" + os.path.join(tempfile.gettempdir(), f"tilespark-{os.getuid()}")
     return path.rstrip("/")
 
 
-def written(df: DataFrame, what: str, row_group: int | None = None) -> DataFrame:
+#: The folder of each application, and below it those of the runs that are open (run_folder), innermost last.
+_folders: dict[str, list[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _current(spark: SparkSession) -> list[str]:
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        root = f"{scratch_dir(spark)}/{app}-{uuid.uuid4().hex[:8]}"
+        _folders[app] = [root]
+
+        def at_exit():
+            # the application may be gone already; its folder then stays for whoever empties the shared one
+            with contextlib.suppress(Exception):
+                _delete(spark, root)
+
+        atexit.register(at_exit)
+    return _folders[app]
+
+
+@contextlib.contextmanager
+def run_folder(spark: SparkSession):
+    """What operators write to the shared folder within this block is deleted at its end, when the caller has written or
+    collected the result. Without it the tables stay until the application ends."""
+    folders = _current(spark)
+    path = f"{folders[-1]}/run-{uuid.uuid4().hex}"
+    folders.append(path)
+    try:
+        yield path
+    finally:
+        folders.remove(path)
+        _delete(spark, path)
+
+
+def written(df: DataFrame, what: str, row_group: int | None = None, outer: bool = False) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: its lineage ends there, so an executor
     that is lost later costs no recomputation, and every later use reads the same rows. row_group: bytes that a writer,
-    and later a reader, holds at once; less than Parquet's 128 MB where single rows are large."""
+    and later a reader, holds at once; less than Parquet's 128 MB where single rows are large. outer: the table outlives
+    the innermost open run_folder."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    folders = _current(spark)
+    path = f"{folders[-2 if outer and len(folders) > 1 else -1]}/{what}-{uuid.uuid4().hex}"
     schema = df.schema
     (df.write if row_group is None else df.write.option("parquet.block.size", row_group)).parquet(path)
     return spark.read.schema(schema).parquet(path)
