@@ -181,6 +181,17 @@ def packs(batches, limit: int):
         yield from joined()
 
 
+def tidy(run):
+    """The same function of record batches, which gives memory back when its arrays are gone: workers wait for their next task
+    beside the JVM's heap."""
+
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def rows_of(batch):
     """The rows of a batch as dictionaries, one at a time: rows here may be megabytes each."""
     for k in range(batch.num_rows):

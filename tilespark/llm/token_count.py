@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packs, partitions, written
+from .common import packs, partitions, tidy, written
 from .tokens import load
 
 #: Proven boundaries that a chunk reports for each of its edges, at most; one is enough for a splice.
@@ -31,7 +31,7 @@ REPORTED = 4
 #: Each widening of the overlap.
 WIDER = 8
 #: Bytes of text that are encoded at once; a longer text is encoded alone.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 def _whole_character(data: bytes, at: int) -> int:
@@ -117,7 +117,7 @@ def _counter(path: str):
             row = batch.column(0)
             yield pa.RecordBatch.from_arrays([row.field(0), row.field(1), pa.array(tokenizer.counts(batch.column(1)), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return run
+    return tidy(run)
 
 
 PIECES = "doc long, begin long, left long, left_end long, right long, right_end long, final boolean, only int, edge int, piece string"
@@ -220,4 +220,4 @@ def _report(path: str):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return run
+    return tidy(run)

@@ -23,14 +23,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, packs, partitions, written
+from .common import packs, partitions, tidy, written
 from .tokens import load
 
 PLANES = {"byte": 4, "bit": 32}
 #: Stands for a range of ids that begins with a null.
 FIRST = -(2**63)
 #: Bytes of text that are encoded at once; a longer text is encoded alone.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 def encode_block(ids: np.ndarray, mode: str, level: int = 1) -> list[bytes]:
@@ -120,9 +120,8 @@ def _encode(path: str, end_id: int, block: int, segment: int, mode: str):
                     inner, keys, lengths, packed, held = inner + held, [], [], [], 0
         if keys:
             yield out()
-        give_back()
 
-    return run
+    return tidy(run)
 
 
 def write_segments(

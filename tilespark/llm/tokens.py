@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 
 #: Fields that a Python worker keeps at most; then it begins anew. It bounds memory and changes no result.
-CACHE_FIELDS = 100_000
+CACHE_FIELDS = 30_000
 #: A field longer than this is not looked up again.
 CACHE_CHARS = 64
 #: How byte-level files split a text into pieces. Letters and digits of the Latin blocks only are split by it here, as
