@@ -415,6 +415,23 @@ def test_recall(spark):
     assert len(got) == 300 and hits / 300 >= 0.9
 
 
+def test_recall_of_many_shards_and_blocks(spark):
+    """The registered beam over several shards; blocks go to copies of a shard; ids repeat; two dimensions."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((12, 16))
+    vectors = [(i if i != 77 else 100, (centres[i % 12] + 0.5 * rng.standard_normal(16)).tolist()) for i in range(2400)] + [(50 * i, rng.standard_normal(4).tolist()) for i in range(60, 90)]
+    rows = ann.usable(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    got = ann.search(ann.build_index(rows, shard_rows=300), rows.where("vec_id % 50 = 0"), 5, block_rows=8, per_shard=2).collect()
+    hits = total = 0
+    for at in {i for i, _ in vectors if i % 50 == 0}:
+        own = [v for i, v in vectors if i == at]
+        best = sorted(((-float(np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w))), j) for v in own for j, w in vectors if j != at and len(w) == len(v)))[:5]
+        mine = [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == at]
+        assert len(mine) == 5
+        hits, total = hits + len(set(mine) & {j for _, j in best}), total + len({j for _, j in best})
+    assert hits / total >= 0.9
+
+
 def test_nearest_edges(spark):
     base = [1.0, 2.0, 3.0]
     vectors = [(0, base), (50, [2.0, 4.0, 6.0]), (7, base), (3, base), (9, base), (11, [0.0, 0.0, 0.0]), (12, None), (13, [1.0, None, 2.0]), (14, [float("nan"), 1.0, 1.0]), (100, [-1.0, -2.0, 3.0]), (150, [1.0, 2.0]), (None, base)]

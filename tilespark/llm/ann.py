@@ -6,8 +6,10 @@ search of the graph so far; of these, nearest first, one is kept if no kept one
 (relaxed pruning), which leaves a few long edges besides the near ones. Reverse edges are added and pruned likewise. Two passes
 are made, the first with alpha 1. Shards are written as a table; any lost task reads it again.
 
-Queries go in blocks to every shard; a beam search returns the shard's best, with cosines in double precision of the
-original vectors, and a window takes the best of all shards.
+Queries go in small blocks to every shard, while a shard stays where it is: its row comes first in its task, then the
+blocks, one after the other. Blocks beyond `per_shard` go to another task with a copy of the shard, so no task grows
+with the queries. A beam search returns the shard's best, with cosines in double precision of the original vectors, and
+a window takes the best of all shards.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, rows_of, small, tidy, written
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -175,53 +177,80 @@ def build_index(vectors: DataFrame, shard_rows: int = 4_096, degree: int = 24, w
     return written(rows.repartition(n, "shard", "dim").groupBy("shard", "dim").applyInPandas(lambda key, pdf: _build(degree, width, alpha)(pdf), INDEX_SCHEMA), "ann-index")
 
 
-def _search(k: int, width: int):
-    def run(batches):
-        for batch in batches:
-            for x in batch.to_pylist():
-                dim = x["dim"]
-                ids, node = np.frombuffer(x["ids"], dtype=np.int64), np.frombuffer(x["node"], dtype=np.int32)
-                original = np.frombuffer(x["vectors"], dtype=np.float64).reshape(-1, dim)
-                entries = np.frombuffer(x["entries"], dtype=np.int32).astype(np.int64)
-                heads = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-                sizes = np.diff(np.append(heads, len(node)))
-                exact = unit(original)
-                directions = exact[heads].astype(np.float32)
-                edges = np.frombuffer(x["edges"], dtype=np.int32).reshape(len(heads), -1).astype(np.int64)
-                query_ids = np.asarray(x["query_ids"], dtype=np.int64)
-                queries = unit(np.asarray(x["query_vs"], dtype=np.float64).reshape(-1, dim))
-                out = []
-                for at in range(0, len(queries), 256):
-                    q = queries[at : at + 256]
-                    found, _ = beam(directions, edges, entries, q.astype(np.float32), max(width, k))
-                    for one, (query, hits) in enumerate(zip(query_ids[at : at + 256].tolist(), found, strict=True)):
-                        hits = hits[hits >= 0]
-                        # of rows with the same direction, the k + 1 least ids can be among the k nearest
-                        rows = np.concatenate([np.arange(heads[h], heads[h] + min(sizes[h], k + 1)) for h in hits])
-                        rows = rows[ids[rows] != query]
-                        sims = np.array([math.fsum(p) for p in (exact[heads[node[rows]]] * q[one]).tolist()])
-                        best = np.lexsort((ids[rows], -sims))[:k]
-                        out += [(query, int(ids[rows[b]]), float(sims[b])) for b in best]
-                cols = list(zip(*out, strict=True)) if out else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+def _opened(x):
+    """What a search needs of a shard's row: ids, exact directions, first row of each node, nodes' sizes, directions, edges and
+    entries."""
+    dim = x["dim"]
+    ids, node = np.frombuffer(x["ids"], dtype=np.int64), np.frombuffer(x["node"], dtype=np.int32)
+    exact = unit(np.frombuffer(x["vectors"], dtype=np.float64).reshape(-1, dim))
+    heads = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+    edges = np.frombuffer(x["edges"], dtype=np.int32).reshape(len(heads), -1).astype(np.int64)
+    return ids, exact, heads, np.diff(np.append(heads, len(node))), exact[heads].astype(np.float32), edges, np.frombuffer(x["entries"], dtype=np.int32).astype(np.int64)
+
+
+def _search(k: int, width: int, together: int = 256):
+    """Rows of a task: a shard, then blocks of queries for it, then the next shard."""
+
+    def found(shard, query_ids, queries):
+        ids, exact, heads, sizes, directions, edges, entries = shard
+        nodes, _ = beam(directions, edges, entries, queries.astype(np.float32), max(width, k))
+        out = []
+        for q, query, hits in zip(queries, query_ids.tolist(), nodes, strict=True):
+            hits = hits[hits >= 0]
+            # of rows with the same direction, the k + 1 least ids can be among the k nearest
+            rows = np.concatenate([np.arange(heads[h], heads[h] + min(sizes[h], k + 1)) for h in hits])
+            owner = np.repeat(heads[hits], np.minimum(sizes[hits], k + 1))
+            owner, rows = owner[ids[rows] != query], rows[ids[rows] != query]
+            sims = np.array([math.fsum(p) for p in (exact[owner] * q).tolist()])
+            best = np.lexsort((ids[rows], -sims))[:k]
+            out += [(query, int(ids[rows[b]]), float(sims[b])) for b in best]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    return run
+    def run(batches):
+        shard, held = None, []
 
+        def flush():
+            query_ids, queries = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return found(shard, query_ids, queries)
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 160, block_rows: int = 1_024) -> DataFrame:
+        for batch in batches:
+            for x in rows_of(batch):
+                if x["block"] < 0:
+                    if held:
+                        yield flush()
+                    shard = _opened(x)
+                    continue
+                held.append((np.asarray(x["query_ids"], dtype=np.int64), unit(np.asarray(x["query_vs"], dtype=np.float64).reshape(-1, x["dim"]))))
+                if sum(len(ids) for ids, _ in held) >= together:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return tidy(run)
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 160, block_rows: int = 64, per_shard: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries (vec_id, v), its k nearest rows that the index finds, but
     those with its own id; ties go to the smaller vec_id.
 
-    Queries are packed into blocks, and each block meets each shard of its dimension once."""
+    Queries are packed into blocks of about block_rows, and each block meets each shard of its dimension once."""
     spark = index.sparkSession
-    n = queries.count()
-    blocks = max(1, math.ceil(n / block_rows))
+    blocks = max(1, math.ceil(queries.count() / block_rows))
+    copies = math.ceil(blocks / per_shard)
     packed = (
         queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
         .groupBy("block", "dim").agg(F.collect_list("vec_id").alias("query_ids"), F.flatten(F.collect_list("v")).alias("query_vs"))
     )
-    pairs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, ["block", "dim"]).repartition(partitions(spark), "shard", "block")
-    hits = pairs.mapInArrow(_search(k, width), "query_id long, vec_id long, score double")
+    shards = small(index.select("shard", "dim"), "ann-shards")
+    sent = packed.join(shards, "dim").select("shard", "dim", F.pmod("block", F.lit(copies)).alias("copy"), "block", "query_ids", "query_vs")
+    # a shard without queries of its dimension isn't sent at all
+    used = index.join(small(queries.select(F.size("v").alias("dim")).distinct(), "ann-dims"), "dim", "left_semi")
+    stays = used.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("block", F.lit(-1))
+    both = stays.unionByName(sent, allowMissingColumns=True)
+    dealt = both.repartition(partitions(spark), "shard", "dim", "copy").sortWithinPartitions("shard", "dim", "copy", "block")
+    hits = dealt.mapInArrow(_search(k, width), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
