@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WINDOW_BASE, gram_hashes, mix, partitions, powers, ragged, slices, small, span_hashes, text_buffers, word_spans, written
+from .common import WINDOW_BASE, gram_hashes, mix, partitions, powers, ragged, slices, small, span_hashes, text_buffers, tidy, word_spans, written
 
 # Words that are units when they follow a number.
 UNITS = "mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr hours minutes seconds days weeks months years percent usd eur dollars euros cents miles meters metres grams litres liters".split()
@@ -263,7 +263,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: flo
         by_size.setdefault(r["size"], []).append(r["window"])
     wanted = spark.sparkContext.broadcast({k: np.sort(np.array(v, dtype=np.int64).view(np.uint64)) if few else None for k, v in by_size.items()})
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    found = rows.mapInArrow(lambda b: _windows(b, width, wanted.value), WINDOW_SCHEMA)
+    found = rows.mapInArrow(tidy(lambda b: _windows(b, width, wanted.value)), WINDOW_SCHEMA)
     a = found.select(F.col("id").alias("doc_id"), "pos", "window", "size", F.col("slots").alias("mine"), F.col("reading").alias("read"))
     b = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "window", "size", "slots", "places", "reading")
     words = items.select("id", "pos", F.explode(F.expr("sequence(places[0], places[size] - 1)")).alias("word"))
