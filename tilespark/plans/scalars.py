@@ -120,10 +120,11 @@ def q_mojibake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.has_mojibake(shown).alias("damaged"))
 
 
-@query("SELECT DISTINCT lang, upper(strip_accents(replace(w, 'ß', 'SS'))) AS folded FROM (SELECT lang, unnest(regexp_extract_all(text, '[a-zA-Zßäöüéèêçñóíáúà]+')) AS w FROM documents)")
+@query("SELECT DISTINCT lang, upper(strip_accents(replace(w, 'ß', 'SS'))) AS folded FROM (SELECT lang, unnest(regexp_extract_all(text, '\\p{L}+')) AS w FROM documents)")
 def q_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Zßäöüéèêçñóíáúà]+"), F.lit(0))).alias("w")).distinct()
-    return words.select("lang", T.fold(F.col("w")).alias("folded")).distinct()
+    ship(spark)
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit("\\p{L}+"), F.lit(0))).alias("w")).distinct()
+    return words.select("lang", T.fold_any(F.col("w")).alias("folded")).distinct()
 
 
 @query("""SELECT doc_id, sha256('{"docId":' || doc_id || ',"lang":"' || lang || '","nChars":' || n_chars || ',"source":"' || source || '","title":null}') AS hash FROM documents""")

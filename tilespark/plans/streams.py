@@ -66,14 +66,29 @@ def s_stream_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.run_available(joined.groupBy("segment", "event_type").agg(F.count("*").alias("n")), "complete")
 
 
-@query()
+@query("""
+    WITH RECURSIVE o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, epoch_us(ts) / 1e6 AS t FROM events),
+    f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(2.0 AS DOUBLE) AS tokens, CAST(NULL AS DOUBLE) AS seen, CAST(0 AS BIGINT) AS granted, CAST(0 AS BIGINT) AS denied FROM events
+          UNION ALL
+          SELECT user_id, k, CASE WHEN have >= 1 THEN have - 1 ELSE have END, t, granted + CASE WHEN have >= 1 THEN 1 ELSE 0 END, denied + CASE WHEN have >= 1 THEN 0 ELSE 1 END
+          FROM (SELECT f.user_id, o.k, o.t, granted, denied, CASE WHEN seen IS NULL THEN tokens ELSE least(CAST(2.0 AS DOUBLE), tokens + CAST(2.0 AS DOUBLE) / 86400 * (o.t - seen)) END AS have FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1))
+    SELECT user_id, granted, denied FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1
+""")
 def s_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests granted and denied for each user by a bucket that refills twice a day."""
     timed = events(spark, sf_dir, files=None).select("user_id", "event_id", (F.unix_micros("ts") / 1e6).alias("t"))
     return W.run_available(W.bucket_stream(timed, 2.0, 2 / 86_400), "update", ["user_id"])
 
 
-@query()
+@query("""
+    WITH RECURSIVE o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k,
+                                CASE WHEN event_type <> 'error' THEN 'OK' WHEN event_id % 3 = 0 THEN 'RATE_LIMITED' ELSE 'PARSE' END AS x FROM events),
+    f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 4 AS c, CAST(2.0 AS DOUBLE) AS r, 0 AS s FROM events
+          UNION ALL SELECT f.user_id, o.k, CASE WHEN x = 'OK' AND s + 1 >= 5 THEN least(8, c + 1) WHEN x = 'RATE_LIMITED' THEN greatest(1, c // 2) ELSE c END,
+                           CASE WHEN x = 'RATE_LIMITED' THEN greatest(0.1, r / 2) ELSE r END, CASE WHEN x <> 'OK' OR s + 1 >= 5 THEN 0 ELSE s + 1 END
+                    FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+    SELECT user_id, CAST(c AS BIGINT) AS concurrency, r AS refill, CAST(s AS BIGINT) AS streak FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1
+""")
 def s_aimd(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") != "error", "OK").when(F.col("event_id") % 3 == 0, "RATE_LIMITED").otherwise("PARSE")
     timed = events(spark, sf_dir, files=None).select("user_id", "event_id", (F.unix_micros("ts") / 1e6).alias("t"), kind.alias("x"))
