@@ -60,8 +60,8 @@ CHECK_BASE = int(_SEED.integers(1, 2**61)) * 8 + 3
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-#: Only rare long texts need more powers than these; workers keep 8 MB of them for each base.
-KEPT_POWERS = 1 << 20
+#: Only rare long texts need more powers than these; workers keep 10 MB of them for each base at most.
+KEPT_POWERS = 1_200_000
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -69,7 +69,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64, kept and doubled as needed; more than KEPT_POWERS aren't kept."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(10, (n - 1).bit_length()) if n <= KEPT_POWERS else n
+        size = min(KEPT_POWERS, 1 << max(10, (n - 1).bit_length())) if n <= KEPT_POWERS else n
         have = np.ones(size, dtype=np.uint64)
         have[1:] = np.uint64(base % 2**64)
         np.multiply.accumulate(have, out=have)
