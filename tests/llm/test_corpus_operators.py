@@ -68,6 +68,15 @@ def test_substring_dedup_with_a_full_sketch(spark):
     assert sorted(map(tuple, got.collect()), key=str) == plain_substring(texts(), 12)
 
 
+@pytest.mark.parametrize("max_broadcast", [0, 64 << 20])
+def test_substring_dedup_with_a_resident_sketch(spark, max_broadcast):
+    """A sketch beyond max_cells is asked where it lies, by many owners, and gives the same rows."""
+    got = substring_dedup.substring_dedup(frame(spark, texts()), width=12, max_cells=1 << 10, owned_bits=15, max_broadcast=max_broadcast)
+    assert sorted(map(tuple, got.collect()), key=str) == plain_substring(texts(), 12)
+    none = substring_dedup.substring_dedup(frame(spark, [(1, "a")]).where("doc_id < 0"), max_cells=1 << 10, max_broadcast=max_broadcast)
+    assert none.count() == 0
+
+
 def test_sketch_never_underestimates():
     words = np.random.default_rng(0).integers(0, 2**63, size=500, dtype=np.uint64)
     words = np.concatenate((words, words[100:160], words[:50]))

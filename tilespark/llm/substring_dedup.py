@@ -14,8 +14,10 @@ starts anywhere else, in the same text or another, is removed.
    its shard once for a pack, not once for a text.
 3. Texts without a hot window are finished in step 2; the others are joined to their bits by pack.
 
-The merged sketch is bounded by `max_cells` bits a row. It is sized from the bytes that the planner reports; beyond
-the bound it lets more windows through to the exact grouping, and results do not change.
+The sketch has about four cells for each selected position, by the bytes that the planner reports, at any size of the
+input. Up to `max_cells` cells a row it is merged into bitmaps that are broadcast to the second scan. A larger one is
+never brought to one place: texts are written in packs with the distinct grams that they select, the grams go to the
+owners of their cells, and the owners return a bit for each (`resident_hot`).
 """
 
 from __future__ import annotations
@@ -39,10 +41,10 @@ BLOCK_BITS = 20
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
-def sketch_bits(size_in_bytes: int, max_cells: int) -> int:
-    """log2 of the cells in a row: about four for each selected position, at most max_cells."""
+def sketch_bits(size_in_bytes: int) -> int:
+    """log2 of the cells in a row: about four for each selected position."""
     positions = max(1, size_in_bytes) * 2 / 5.5 * 0.08
-    return max(BLOCK_BITS, min(int(math.log2(max_cells)), math.ceil(math.log2(4 * positions))))
+    return max(BLOCK_BITS, math.ceil(math.log2(4 * positions)))
 
 
 def cells(grams: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -158,45 +160,160 @@ def is_hot(sketch: np.ndarray, grams: np.ndarray, bits: int) -> np.ndarray:
     return hot
 
 
-PACK_SCHEMA = "pack string, ids array<long>, n_words array<int>, texts array<string>, spots binary, first binary, second binary, done_ids array<long>, done_words array<int>, done_sha array<string>"
+def sized(answers: DataFrame, column: str, max_broadcast: int) -> DataFrame:
+    """Answers of a bit for each hash, broadcast while they are little: packs then needn't be shuffled to them."""
+    size = answers.agg(F.sum(F.aggregate(column, F.lit(0).cast("long"), lambda a, v: a + F.length(v["bits"]) + 64))).first()[0] or 0
+    return F.broadcast(answers) if size <= max_broadcast else answers
 
 
-def _pack(sketch, bits: int, width: int, gram: int):
+TEXTS_SCHEMA = "pack string, ids array<long>, texts array<string>, grams binary, many binary"
+
+
+def _select(width: int, gram: int):
+    """Packs of whole texts, with the distinct grams that their windows select, ascending, and which occur there twice."""
+
     def run(batches):
-        merged = sketch.value
         for batch in slices(batches):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            words, starts, ends, buffer, firsts = hashed(texts)
-            counts = np.diff(firsts)
-            hot_text = np.zeros(len(ids), dtype=bool)
-            spots = np.zeros(0, dtype=np.int64)
+            words, _, _, _, firsts = hashed(batch.column(1))
+            grams, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
             if len(words) >= width:
-                ok = window_starts(firsts, len(words), width)
-                least, _ = representatives(words, ok, width, gram)
-                spots = np.flatnonzero(ok)
-                spots = spots[is_hot(merged, least[spots], bits)]
-                hot_text[np.searchsorted(firsts, spots, side="right") - 1] = True
-            first = gram_hashes(words, width)[spots] if len(spots) else np.zeros(0, dtype=np.uint64)
-            second = (gram_hashes(words, width, CHECK_BASE)[spots] >> np.uint64(32)).astype(np.uint32) if len(spots) else np.zeros(0, dtype=np.uint32)
-            # spots count words from the first word of the pack's hot texts
-            kept_before = np.concatenate(([0], np.cumsum(np.where(hot_text, counts, 0))))
-            text_of = np.searchsorted(firsts, spots, side="right") - 1
-            moved = (spots - firsts[text_of] + kept_before[text_of]).astype(np.uint32)
-            hot_at, cold_at = np.flatnonzero(hot_text), np.flatnonzero(~hot_text)
-            raw = buffer.tobytes()
-            sha = [hashlib.sha256(b" ".join(raw[starts[firsts[i]] : ends[firsts[i + 1] - 1]].split()) if counts[i] else b"").hexdigest() for i in cold_at]
-            hot_texts = texts.take(pa.array(hot_at)).to_pylist()
+                grams, counts = np.unique(representatives(words, window_starts(firsts, len(words), width), width, gram)[1], return_counts=True)
             yield pa.RecordBatch.from_pydict(
-                {
-                    "pack": [uuid.uuid4().hex], "ids": pa.array([[ids[i] for i in hot_at]], pa.list_(pa.int64())), "n_words": pa.array([counts[hot_at].tolist()], pa.list_(pa.int32())),
-                    "texts": pa.array([hot_texts], pa.list_(pa.string())), "spots": pa.array([moved.tobytes()], pa.binary()), "first": pa.array([first.tobytes()], pa.binary()), "second": pa.array([second.tobytes()], pa.binary()),
-                    "done_ids": pa.array([[ids[i] for i in cold_at]], pa.list_(pa.int64())), "done_words": pa.array([counts[cold_at].tolist()], pa.list_(pa.int32())), "done_sha": pa.array([sha], pa.list_(pa.string())),
-                }
+                {"pack": [uuid.uuid4().hex], "ids": pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), "texts": pa.array([batch.column(1).to_pylist()], pa.list_(pa.string())),
+                 "grams": pa.array([grams.tobytes()], pa.binary()), "many": pa.array([np.packbits(counts > 1).tobytes()], pa.binary())}
             )
 
     return run
 
 
+def _deal_cells(bits: int, owned: int):
+    """Each pack's cells, ascending, in one blob for each owner (a row and a range of 2^owned cells)."""
+
+    def run(batches):
+        for batch in batches:
+            for x in rows_of(batch):
+                grams = np.frombuffer(x["grams"], dtype=np.uint64)
+                many = np.unpackbits(np.frombuffer(x["many"], dtype=np.uint8), count=len(grams)).astype(np.uint32)
+                for row in range(ROWS if len(grams) else 0):
+                    at = cells(grams, row, bits)
+                    order = np.argsort(at, kind="stable")
+                    at = at[order]
+                    packed = (at & ((1 << owned) - 1)).astype(np.uint32) | (many[order] << np.uint32(31))
+                    owner = at >> owned
+                    edges = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
+                    yield pa.RecordBatch.from_pydict(
+                        {"pack": [x["pack"]] * (len(edges) - 1), "row": pa.array([row] * (len(edges) - 1), pa.int32()), "owner": pa.array(owner[edges[:-1]], pa.int64()),
+                         "cells": pa.array([packed[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())}
+                    )
+
+    return run
+
+
+def _judge_cells(owned: int):
+    """A bit for each cell that a pack sent: whether it is hit twice by all packs. An owner's rows come one after the
+    other; one owner is held at a time."""
+    held: list[tuple] = []
+
+    def verdict():
+        seen, twice = np.zeros(1 << owned, dtype=bool), np.zeros(1 << owned, dtype=bool)
+        for x in held:
+            packed = np.frombuffer(x[3], dtype=np.uint32)
+            at, many = packed & np.uint32(0x7FFFFFFF), packed >> np.uint32(31) == 1
+            twice[at[many | seen[at]]] = True
+            seen[at] = True
+        hot = [twice[np.frombuffer(x[3], dtype=np.uint32) & np.uint32(0x7FFFFFFF)] for x in held]
+        return pa.RecordBatch.from_pydict(
+            {"pack": [x[0] for x in held], "row": pa.array([x[1] for x in held], pa.int32()), "owner": pa.array([x[2] for x in held], pa.int64()),
+             "bits": pa.array([np.packbits(h).tobytes() for h in hot], pa.binary()), "n": pa.array([len(h) for h in hot], pa.int32())}
+        )
+
+    def run(batches):
+        for batch in batches:
+            for x in zip(*(batch.column(c).to_pylist() for c in ("pack", "row", "owner", "cells")), strict=True):
+                if held and held[0][1:3] != x[1:3]:
+                    yield verdict()
+                    held.clear()
+                held.append(x)
+        if held:
+            yield verdict()
+            held.clear()
+
+    return run
+
+
+def resident_hot(packed: DataFrame, bits: int, owned: int, max_broadcast: int) -> DataFrame:
+    """The packs of texts with `hits`: for each row of the sketch and owner, the bits of the pack's cells."""
+    spark = packed.sparkSession
+    dealt = packed.select("pack", "grams", "many").mapInArrow(_deal_cells(bits, owned), "pack string, row int, owner long, cells binary")
+    judged = dealt.repartition(partitions(spark), "row", "owner").sortWithinPartitions("row", "owner").mapInArrow(_judge_cells(owned), "pack string, row int, owner long, bits binary, n int")
+    hits = written(judged.groupBy("pack").agg(F.collect_list(F.struct("row", "owner", "bits", "n")).alias("hits")), "hits")
+    return packed.drop("many").join(sized(hits, "hits", max_broadcast), "pack", "left")
+
+
+def hot_grams(grams: np.ndarray, hits: list[dict], bits: int) -> np.ndarray:
+    """Which of a pack's distinct grams have cells hit twice in every row of the sketch."""
+    hot = np.ones(len(grams), dtype=bool)
+    for row in range(ROWS):
+        marks = [np.unpackbits(np.frombuffer(v["bits"], dtype=np.uint8), count=v["n"]) for v in sorted((v for v in hits if v["row"] == row), key=lambda v: v["owner"])]
+        order = np.argsort(cells(grams, row, bits), kind="stable")
+        hot[order] &= np.concatenate(marks).astype(bool)
+    return hot
+
+
+PACK_SCHEMA = "pack string, ids array<long>, n_words array<int>, texts array<string>, spots binary, first binary, second binary, done_ids array<long>, done_words array<int>, done_sha array<string>"
+
+
+def _packed(ids: list, texts: pa.Array, width: int, gram: int, hot_of) -> pa.RecordBatch:
+    """A pack of texts with the hashes of the windows whose representatives are hot; texts without any are finished."""
+    words, starts, ends, buffer, firsts = hashed(texts)
+    counts = np.diff(firsts)
+    hot_text = np.zeros(len(ids), dtype=bool)
+    spots = np.zeros(0, dtype=np.int64)
+    if len(words) >= width:
+        ok = window_starts(firsts, len(words), width)
+        least, _ = representatives(words, ok, width, gram)
+        spots = np.flatnonzero(ok)
+        spots = spots[hot_of(least[spots])]
+        hot_text[np.searchsorted(firsts, spots, side="right") - 1] = True
+    first = gram_hashes(words, width)[spots] if len(spots) else np.zeros(0, dtype=np.uint64)
+    second = (gram_hashes(words, width, CHECK_BASE)[spots] >> np.uint64(32)).astype(np.uint32) if len(spots) else np.zeros(0, dtype=np.uint32)
+    # spots count words from the first word of the pack's hot texts
+    kept_before = np.concatenate(([0], np.cumsum(np.where(hot_text, counts, 0))))
+    text_of = np.searchsorted(firsts, spots, side="right") - 1
+    moved = (spots - firsts[text_of] + kept_before[text_of]).astype(np.uint32)
+    hot_at, cold_at = np.flatnonzero(hot_text), np.flatnonzero(~hot_text)
+    raw = buffer.tobytes()
+    sha = [hashlib.sha256(b" ".join(raw[starts[firsts[i]] : ends[firsts[i + 1] - 1]].split()) if counts[i] else b"").hexdigest() for i in cold_at]
+    hot_texts = texts.take(pa.array(hot_at)).to_pylist()
+    return pa.RecordBatch.from_pydict(
+        {
+            "pack": [uuid.uuid4().hex], "ids": pa.array([[ids[i] for i in hot_at]], pa.list_(pa.int64())), "n_words": pa.array([counts[hot_at].tolist()], pa.list_(pa.int32())),
+            "texts": pa.array([hot_texts], pa.list_(pa.string())), "spots": pa.array([moved.tobytes()], pa.binary()), "first": pa.array([first.tobytes()], pa.binary()), "second": pa.array([second.tobytes()], pa.binary()),
+            "done_ids": pa.array([[ids[i] for i in cold_at]], pa.list_(pa.int64())), "done_words": pa.array([counts[cold_at].tolist()], pa.list_(pa.int32())), "done_sha": pa.array([sha], pa.list_(pa.string())),
+        }
+    )
+
+
+def _pack(sketch, bits: int, width: int, gram: int):
+    def run(batches):
+        merged = sketch.value
+        for batch in slices(batches):
+            yield _packed(batch.column(0).to_pylist(), batch.column(1), width, gram, lambda grams: is_hot(merged, grams, bits))
+
+    return run
+
+
+def _pack_resident(bits: int, width: int, gram: int):
+    def run(batches):
+        for batch in batches:
+            for x in rows_of(batch):
+                grams = np.frombuffer(x["grams"], dtype=np.uint64)
+                hot = hot_grams(grams, x["hits"] or [], bits) if len(grams) else np.zeros(0, dtype=bool)
+                yield _packed(x["ids"], pa.array(x["texts"], pa.string()), width, gram, lambda least, g=grams, h=hot: h[np.searchsorted(g, least)])
+
+    return run
+
+
 def _distinct(first: np.ndarray, second: np.ndarray):
     """Order of the windows by hash, the start of each group of equal 96-bit hashes in that order."""
     order = np.lexsort((second, first))
@@ -294,27 +411,31 @@ def _apply(width: int, with_text: bool):
 
 
 def substring_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, gram: int = 8, max_cells: int = 1 << 28, shard_windows: int = 1 << 20, max_broadcast: int = 64 << 20, with_text: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, gram: int = 8, max_cells: int = 1 << 28, owned_bits: int = 22, shard_windows: int = 1 << 20, max_broadcast: int = 64 << 20,
+    with_text: bool = False,
 ) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept_sha256 (lower-case hex of the kept words joined by
     one space, UTF-8) and, if with_text, kept (null where nothing was removed).
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Null texts and texts without words have 0 words and the hash of the empty
     string. Texts of fewer than `width` words lose nothing. Repeated rows are two texts: each loses what the other
-    repeats. A null id stays null. An empty table gives no rows. Other columns are not read."""
+    repeats. A null id stays null. An empty table gives no rows. Other columns are not read.
+
+    max_cells: a larger sketch stays with its owners, 2^owned_bits cells each; results are the same either way."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bits = sketch_bits(planned_bytes(rows), max_cells)
-    sketch = spark.sparkContext.broadcast(repeated_cells(rows.select("text"), bits, width, gram))
-    packs = written(rows.mapInArrow(_pack(sketch, bits, width, gram), PACK_SCHEMA), "packs", row_group=16 << 20)
+    bits = sketch_bits(planned_bytes(rows))
+    if 1 << bits <= max_cells:
+        sketch = spark.sparkContext.broadcast(repeated_cells(rows.select("text"), bits, width, gram))
+        packed = rows.mapInArrow(_pack(sketch, bits, width, gram), PACK_SCHEMA)
+    else:
+        texts = written(rows.mapInArrow(_select(width, gram), TEXTS_SCHEMA), "texts", row_group=16 << 20)
+        packed = resident_hot(texts, bits, min(bits, owned_bits), max_broadcast).mapInArrow(_pack_resident(bits, width, gram), PACK_SCHEMA)
+    packs = written(packed, "packs", row_group=16 << 20)
     hot = packs.agg(F.sum(F.length("first") / 8)).first()[0] or 0
     shards = max(1, math.ceil(hot / shard_windows), partitions(spark))
     dealt = packs.select("pack", "first", "second").mapInArrow(_deal(shards), "pack string, shard int, first binary, second binary, many binary")
     judged = dealt.repartition(partitions(spark), "shard").sortWithinPartitions("shard").mapInArrow(_judge, "pack string, shard int, bits binary, n int")
     verdicts = written(judged.groupBy("pack").agg(F.collect_list(F.struct("shard", "bits", "n")).alias("verdicts")), "verdicts")
-    # a bit for each hash: while that is little, packs needn't be shuffled to their verdicts
-    size = verdicts.agg(F.sum(F.expr("aggregate(verdicts, 0L, (a, v) -> a + length(v.bits) + 64)"))).first()[0] or 0
-    if size <= max_broadcast:
-        verdicts = F.broadcast(verdicts)
-    out = packs.join(verdicts, "pack", "left").mapInArrow(_apply(width, with_text), RESULT_SCHEMA)
+    out = packs.join(sized(verdicts, "verdicts", max_broadcast), "pack", "left").mapInArrow(_apply(width, with_text), RESULT_SCHEMA)
     return out if with_text else out.drop("kept")
