@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, coverage, extraction, jobs, lifecycle, quality, scalars, streams
+from . import aggregates, coverage, extraction, jobs, lifecycle, quality, scalars, sites, streams
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "coverage", "extraction", "jobs", "lifecycle", "quality", "scalars", "streams"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "coverage", "extraction", "jobs", "lifecycle", "quality", "scalars", "sites", "streams"]

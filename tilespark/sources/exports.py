@@ -54,3 +54,13 @@ def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
     under `path`/header."""
     csv_lines(df, order).write.option("lineSep", "\r\n").text(f"{path}/rows")
     df.sparkSession.createDataFrame([(csv_header(df),)], "value string").coalesce(1).write.option("lineSep", "\r\n").text(f"{path}/header")
+
+
+def catalogue(df: DataFrame) -> DataFrame:
+    """(place, name) of the columns of df, from 1."""
+    return df.sparkSession.createDataFrame(list(enumerate(df.columns, 1)), "place bigint, name string")
+
+
+def append_samples(samples: DataFrame, path: str) -> None:
+    """All samples of a batch added to the table at path in one write."""
+    samples.write.mode("append").parquet(path)
