@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilespark import config
+from tilespark.functions import nested
 from tilespark.operators import sites
 from tilespark.sources import blobs, capped, exports
 
@@ -80,3 +81,10 @@ def test_capped_search_at_the_edges_of_days(spark, tmp_path):
     reader = capped.CappedReader({"table": path, "day": "ts", "cap": "3", "ranges": '[["2024-01-02", "2024-01-03"], ["2025-01-01", "2025-01-01"]]'})
     got = [list(reader.read(p)) for p in reader.partitions()]
     assert [r[2:] for r in got[0]] == [("2", "2024-01-02", True), ("3", "2024-01-02", True), ("4", "2024-01-03", True)] and got[1] == []
+
+
+def test_nested_values(spark):
+    df = spark.createDataFrame([(({"b": [(2, "x")], "a": None},),), ((None,),), (None,)], "r struct<m:map<string,array<struct<z:int,a:string>>>>")
+    kind = df.schema["r"].dataType
+    got = [tuple(r) for r in df.select(nested.canonical_text(F.col("r"), kind), nested.texts(F.col("r"), kind), nested.damaged(F.col("r"), kind)).collect()]
+    assert got == [('{"m":{"a":null,"b":[{"a":"x","z":2}]}}', ["x"], None), ('{"m":null}', [], None), (None, [], None)]

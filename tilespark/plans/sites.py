@@ -1,10 +1,11 @@
-"""Queries of axes, rules, job dispatch, token refresh and the catalogue."""
+"""Queries of axes, rules, job dispatch, token refresh, the catalogue and nested values."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import nested as N
 from ..operators import sites as S
 from ..session import table
 from ..sources.exports import catalogue
@@ -63,3 +64,29 @@ def q_token_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(ordinal_position AS BIGINT) AS place, column_name AS name FROM (SELECT row_number() OVER () AS ordinal_position, column_name FROM (DESCRIBE SELECT * FROM orders))")
 def q_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue(table(spark, sf_dir, "orders"))
+
+
+def _record(rows: DataFrame, text) -> DataFrame:
+    """A nested record for each document, its fields out of order."""
+    i, none = F.col("doc_id"), F.lit(None).cast("string")
+    movement = F.struct(F.col("lang").alias("z"), F.lit("now").alias("listedAt"), text.alias("b"))
+    extra = F.create_map(F.lit("k"), F.col("source"), F.lit("ca"), F.lit("x"), F.lit("j"), none)
+    return rows.select("doc_id", F.struct(i.alias("z"), F.array(movement, F.lit(None).cast("struct<z:string,listedAt:string,b:string>")).alias("a"), extra.alias("m"), F.lit("x").alias("contentHash"), none.alias("n")).alias("record"))
+
+
+@query("""
+    WITH r AS (SELECT doc_id, '{"a":[{"b":"t' || doc_id || '","z":"' || lang || '"},null],"m":{"j":null,"k":"' || source || '"},"n":null,"z":' || doc_id || '}' AS body FROM documents)
+    SELECT doc_id, body, sha256(body) AS digest FROM r
+""")
+def q_nested_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _record(table(spark, sf_dir, "documents"), F.concat(F.lit("t"), F.col("doc_id").cast("string")))
+    body = rows.select("doc_id", N.canonical_text(F.col("record"), rows.schema["record"].dataType).alias("body"))
+    return body.select("doc_id", "body", F.sha2("body", 256).alias("digest"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN chr(195) || chr(135) || doc_id END AS damaged FROM documents")
+def q_nested_mojibake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh record has a damaged text two levels down."""
+    shown = F.concat(F.when(F.col("doc_id") % 7 == 0, "Ã\u0087").otherwise(""), F.col("doc_id").cast("string"))
+    rows = _record(table(spark, sf_dir, "documents"), shown)
+    return rows.select("doc_id", N.damaged(F.col("record"), rows.schema["record"].dataType).alias("damaged"))
