@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import label_value
+from ..session import written
 
 
 def exact_quantiles(rows: DataFrame, key: str, value: str, quantiles: list[float], cuts: int = 100) -> DataFrame:
@@ -13,10 +14,12 @@ def exact_quantiles(rows: DataFrame, key: str, value: str, quantiles: list[float
 
     Equal values are counted first, so a value that most rows share is one row from then on. No key is sorted as a
     whole: approximate percentiles cut its values into ranges, counts of ranges say in which one the wanted index
-    lies, and only that range is ranked. Keys may be any number: nothing is broadcast unless the planner finds it
-    small."""
+    lies, and only that range is ranked. The percentiles are written first: they depend on the order in which partial
+    results arrive, and counts and ranks must see the same ranges. Keys may be any number: nothing is broadcast unless the
+    planner finds it small."""
     counts = rows.select(F.col(key).alias("key"), F.col(value).alias("value")).where("value is not null").groupBy("key", "value").agg(F.count("*").alias("k"))
     marks = counts.groupBy("key").agg(F.percentile_approx("value", [k / cuts for k in range(1, cuts)], 1_000).alias("marks"), F.sum("k").alias("n"))
+    marks = written(marks, "quantile-marks")
     placed = counts.join(marks, "key").withColumn("part", F.expr("size(filter(marks, m -> m < value))")).drop("marks")
     parts = placed.groupBy("key", "part").agg(F.sum("k").alias("k"), F.first("n").alias("n"))
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
