@@ -350,6 +350,26 @@ def test_line_dedup_of_templates(spark, kind):
     assert removed(line_dedup.line_dedup(df, long_list=2)) == plain_lines(rows, 2, 24)
 
 
+def test_line_dedup_of_a_family(spark):
+    """Near copies that are more than tau edits apart share segments, but few of their pairs are candidates; real links are."""
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrst ", k=n))
+    base, family = letters(240), []
+    for _ in range(90):
+        at = rng.randrange(len(base))
+        family.append(base[:at] + letters(5) + base[at:])
+    near = []
+    for line in family[:20]:
+        i, j = sorted(rng.sample(range(len(line)), 2))
+        near.append((line, line[:i] + rng.choice(["", "Z", line[i] + "Z"]) + line[i + 1 : j] + rng.choice(["", "Q", line[j] + "Q"]) + line[j + 1 :]))
+    df = spark.createDataFrame([(line,) for line in [*family, *(b for _, b in near)]], "line string").coalesce(1)
+    lines = df.select(F.unhex(F.md5("line")).alias("id"), "line", F.char_length("line").alias("n"))
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in line_dedup.candidates(lines, 2, 64).collect()}
+    ids = [tuple(sorted(hashlib.md5(x.encode()).digest() for x in pair)) for pair in near]
+    assert all(pair in got for pair in ids)
+    assert len(got) < 1_000
+
+
 def test_line_dedup_of_very_long_and_odd_lines(spark):
     long = "".join(random.Random(2).choices("abcdefgh", k=30_000))
     rows = [(1, long), (2, long[:9] + "Z" + long[9:]), (3, long[1:-1]), (4, long[500:]), (5, "\x01" * 30), (6, "\x01" * 31), (7, "日本語" * 10), (8, "日本語" * 9 + "日x語"), (9, "   "), (10, "")]

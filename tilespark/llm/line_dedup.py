@@ -10,12 +10,13 @@ length, tau edits leave one of them whole, and it stands in the other line not f
 3. Probe: for each line and each length from its own down to tau less, hashes of the substrings that can face a segment
    of a line of that length. Of the start positions only those within (i - 1) of the segment's place from the left and
    within (tau + 1 - i) of it from the right, for segment i, are taken: fewer edits than that lie on either side.
-4. A segment that more than `long_list` lines have at one place and length says little: such lines are cut into
-   tau + 2 segments instead, of which two stay whole, and pairs of segments are probed.
-5. Lines that still meet in lists of more than eight times that are made from a template. What all such lines of a list begin and end with
-   is taken off; the rest is cut into eight segments, of which tau edits touch tau at most, and lines meet if all others
-   are equal (`refined`). Where such lists are long again, only the touched segments are looked at, again in eight,
-   until segments are single characters. The work grows with the lines, not with the pairs of a template.
+4. A segment that more than a quarter of `long_list` lines have at one place and length says little, as the pairs of its
+   lines grow with their square. Such lines meet among themselves by more: they are cut into 3 tau segments, of which
+   tau edits touch tau at most, and meet if all others are equal (`refined`). A line gives some hundred keys by this, fewer
+   than it could have pairs in lists that long.
+5. Where such lists are longer than eight times `long_list` still, as those of lines made from a template, only the touched
+   segments are looked at, again in 3 tau, until segments are single characters. The work grows with the lines, not with
+   the pairs of a template.
 6. Pairs whose counts of some characters differ by more than 2 tau in all aren't near copies, as an edit changes two counts
    by one at most. They are ruled out first, those of crowded lines as they meet. All others are verified by a banded bit-parallel automaton: row d holds, in 2 tau + 1 bits, which
    prefixes of one line near the diagonal are within d edits of the other's prefix; one step for each character does
@@ -44,17 +45,6 @@ def _choices(rows: list[tuple[int, ...]], names: list[str]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows])
 
 
-def _key(line: Column, n: Column, m: Column, parts: int, cut: list[tuple[Column, Column]]) -> Column:
-    """Hash of (length m, for each (segment, shift): segment number and the substring of the line that faces it); null if
-    one doesn't fit."""
-    pieces, fits = [m], F.lit(True)
-    for i, shift in cut:
-        a, size = segment(m, parts, i)
-        pieces += [i, line.substr(a + shift, size)]
-        fits = fits & (a + shift >= 1) & (a + shift + size - 1 <= n)
-    return F.when(fits, F.xxhash64(*pieces))
-
-
 def _one(line: Column, n: Column, rows: list[tuple[int, int, int]], parts: int) -> Column:
     """Hashes of (length of the other line, segment number, the substring that faces it) for single segments, which
     always lie within the line. Spelled out for each: generated code is some ten times as fast as a lambda."""
@@ -67,39 +57,16 @@ def _one(line: Column, n: Column, rows: list[tuple[int, int, int]], parts: int)
     return F.array(*[key(*row) for row in rows])
 
 
-def index_keys(line: Column, n: Column, parts: int, matches: int) -> Column:
-    """A hash for each choice of `matches` segments of the line."""
-    if matches == 1:
-        return _one(line, n, [(0, i, 0) for i in range(1, parts + 1)], parts)
-    names, rows = [f"i{k}" for k in range(matches)], list(combinations(range(1, parts + 1), matches))
-    return F.transform(_choices(rows, names), lambda x: _key(line, n, n, parts, [(x[i], F.lit(0)) for i in names]))
-
-
-def probes(tau: int, parts: int, matches: int) -> list[tuple[int, ...]]:
-    """(how much shorter the other line is, then segment and shift of each chosen segment) of all that must be probed."""
-    rows = []
-    for less in range(tau + 1):
-        spots = {}
-        for i in range(1, parts + 1):
-            if matches == 1:
-                spots[i] = list(range(max(1 - i, less - (parts - i)), min(i - 1, less + parts - i) + 1))
-            else:  # any whole segment: the edits before it and those after it are tau together at most
-                spots[i] = [k for k in range(-tau, tau + 1) if abs(k) + abs(less - k) <= tau]
-        for choice in combinations(range(1, parts + 1), matches):
-            for shifts in product(*(spots[i] for i in choice)):
-                # edits before the first, between neighbours and after the last are tau together at most
-                if matches == 1 or abs(shifts[0]) + sum(abs(b - a) for a, b in zip(shifts, shifts[1:])) + abs(less - shifts[-1]) <= tau:
-                    rows.append((less, *(v for pair in zip(choice, shifts, strict=True) for v in pair)))
-    return rows
-
-
-def probe_keys(line: Column, n: Column, tau: int, parts: int, matches: int) -> Column:
-    """Hashes of the substrings, or choices of them, that can face segments of a line that is up to tau shorter."""
-    if matches == 1:
-        return _one(line, n, probes(tau, parts, 1), parts)
-    names = ["less", *(f"{c}{k}" for k in range(matches) for c in "is")]
-    keys = F.transform(_choices(probes(tau, parts, matches), names), lambda x: _key(line, n, n - x["less"], parts, [(x[f"i{k}"], x[f"s{k}"]) for k in range(matches)]))
-    return F.filter(keys, lambda x: x.isNotNull())
+def index_keys(line: Column, n: Column, parts: int) -> Column:
+    """A hash for each segment of the line."""
+    return _one(line, n, [(0, i, 0) for i in range(1, parts + 1)], parts)
+
+
+def probe_keys(line: Column, n: Column, tau: int, parts: int) -> Column:
+    """Hashes of the substrings that can face segments of a line that is up to tau shorter. A row of _one for each length of
+    the other line, segment and shift: fewer edits than segments lie on either side."""
+    rows = [(less, i, shift) for less in range(tau + 1) for i in range(1, parts + 1) for shift in range(max(1 - i, less - (parts - i)), min(i - 1, less + parts - i) + 1)]
+    return _one(line, n, rows, parts)
 
 
 def _let(value: Column, body) -> Column:
@@ -183,19 +150,38 @@ def _within(a: Column, b: Column, tau: int) -> Column:
     return F.shiftrightunsigned(last, tau * width).bitwiseAND(accepting) != 0
 
 
-# ---------------------------------------------------------------- lists of templated lines
+# ---------------------------------------------------------------- lists of many lines
 
-#: Lists of templated lines are refined from so many times long_list on: one line costs some 250 keys in each round.
+#: A line meets others by its segments alone in lists of up to long_list / CROWDED lines; `refined` makes 96 keys of it.
+CROWDED = 4
+#: Lists of templated lines are refined again from so many times long_list on: one line costs as many keys in each round.
 TEMPLATE = 8
-#: Segments of what is left of templated lines, and what stands for equal text between the segments that are left.
-PARTS, CUT_OUT = 8, "\x01\x01\x01\x01"
+#: Such lines, or what is left of them, are cut into so many segments for each edit. With 3, what is left gets shorter in
+#: each round.
+PARTS = 3
+
+
+def _cut_out(tau: int) -> str:
+    """What stands for equal text between segments that are left. Where it is out of line by more than its length, texts
+    differ in more than tau places."""
+    return "\x01" * (tau // 2 + 1)
 
 
 def _touched(tau: int) -> list[tuple[int, ...]]:
     """(segments that may differ, then how far the text after each is shifted) of all ways in which tau edits can lie in
-    tau of PARTS segments; the last shift is how much shorter the other text is."""
+    tau of the segments; the last shift is how much shorter the other text is. Where shifts take all edits, segments
+    without one are whole, and one choice of these is enough."""
     shifts = [s for s in product(range(-tau, tau + 1), repeat=tau) if s[-1] >= 0 and sum(abs(b - a) for a, b in zip((0, *s), s)) <= tau]
-    return [(*choice, *s) for choice in combinations(range(1, PARTS + 1), tau) for s in shifts]
+    ways, seen = [], set()
+    for choice in combinations(range(1, PARTS * tau + 1), tau):
+        for s in shifts:
+            moves = [(e, b - a) for e, a, b in zip(choice, (0, *s), s) if a != b]
+            if sum(abs(d) for _, d in moves) == tau:
+                if tuple(moves) in seen:
+                    continue
+                seen.add(tuple(moves))
+            ways.append((*choice, *s))
+    return ways
 
 
 def _spots(x: Column, n: Column, t: Column, tau: int) -> tuple[list[Column], list[Column], Column]:
@@ -203,7 +189,7 @@ def _spots(x: Column, n: Column, t: Column, tau: int) -> tuple[list[Column], lis
     m = n - t[f"s{tau - 1}"]
     same, differ, fits, at, shift = [], [], m >= 0, F.lit(1), F.lit(0)
     for k in range(tau):
-        a, size = segment(m, PARTS, t[f"e{k}"])
+        a, size = segment(m, PARTS * tau, t[f"e{k}"])
         same.append(x.substr(at + shift, a - at))
         differ.append(x.substr(a + shift, size + t[f"s{k}"] - shift))
         fits = fits & (size + t[f"s{k}"] - shift >= 0)
@@ -212,7 +198,7 @@ def _spots(x: Column, n: Column, t: Column, tau: int) -> tuple[list[Column], lis
 
 
 def _refine(members: DataFrame, tau: int) -> tuple[DataFrame, DataFrame]:
-    """(index, probes) of (list, id, x): a row for each way that a text can differ in, with the key of what is equal."""
+    """(index, probes) of (list, id, counts, x, n): a row for each way that a text can differ in, with the key of what is equal."""
     names = [f"e{k}" for k in range(tau)] + [f"s{k}" for k in range(tau)]
     ways = _touched(tau)
 
@@ -228,42 +214,41 @@ def _refine(members: DataFrame, tau: int) -> tuple[DataFrame, DataFrame]:
     return keyed(unmoved), keyed([w for w in ways if any(w[tau:])])
 
 
-def _meet(probe: DataFrame, index: DataFrame, tau: int) -> DataFrame:
-    """Pairs (a, b) of lines with equal keys whose letter counts are near enough. Both have (id, key, counts)."""
+def _meet(probe: DataFrame, index: DataFrame, tau: int, once: bool = False) -> DataFrame:
+    """Pairs (a, b) of lines with equal keys whose letter counts are near enough. Both have (id, key, counts). once: they
+    are the same rows, and a pair is looked at one way round only."""
     a, b = (rows.select(F.col("id").alias(name), F.col("counts").alias(f"counts_{name}"), "key") for rows, name in ((probe, "a"), (index, "b")))
-    met = a.join(b, (a.key == b.key) & (F.col("a") != F.col("b")) & may_be_near(F.col("counts_a"), F.col("counts_b"), tau))
+    apart = F.col("a") < F.col("b") if once else F.col("a") != F.col("b")
+    met = a.join(b, (a.key == b.key) & apart & may_be_near(F.col("counts_a"), F.col("counts_b"), tau))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def refined(members: DataFrame, tau: int, long_list: int) -> DataFrame:
-    """Pairs (a, b) of lines of a list that may be within tau edits. members: (list, id, line, counts); all pairs within tau
-    edits that share a list are among the result."""
-    ends = members.groupBy("list").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.min(F.reverse("line")).alias("ra"), F.max(F.reverse("line")).alias("rb"), F.min(F.char_length("line")).alias("least"))
-    agree = lambda a, b: _agree(F.split(a, ""), F.split(b, ""))
-    ends = ends.select("list", agree("a", "b").alias("head"), agree("ra", "rb").alias("tail"), "least").withColumn("tail", F.least("tail", F.col("least") - F.col("head")))
-    ends = small(ends.select("list", "head", "tail"), "template-ends")
-    x = F.col("line").substr(F.col("head") + 1, F.char_length("line") - F.col("head") - F.col("tail"))
-    left = written(members.join(ends, "list").select("list", "id", "counts", x.alias("x")).withColumn("n", F.char_length("x")), "template-rests")
+def refined(lines: DataFrame, tau: int, long_list: int) -> DataFrame:
+    """Pairs (a, b) of lines that may be within tau edits; all that are within tau edits are among them. lines: (id, line, n,
+    counts)."""
+    left = lines.select(F.lit(0).cast("long").alias("list"), "id", "counts", F.col("line").alias("x"), "n")
     pairs = None
     while True:
-        index, probe = (written(rows, "template-keys") for rows in _refine(left, tau))
-        lists = written(index.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub"), F.max("n").alias("n")).where("size > 1"), "template-lists")
-        long = small(lists.where(f"size > {long_list}").select("key", "hub", (F.col("n") <= PARTS).alias("last")), "template-long-lists")
+        ways = _refine(left, tau)
+        # the texts are left out here: there are many keys to a line
+        index, probe = (written(rows.select("id", "counts", "n", "key"), "refined-keys") for rows in ways)
+        lists = written(index.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub"), F.max("n").alias("n")).where("size > 1"), "refined-lists")
+        long = small(lists.where(f"size > {long_list}").select("key", "hub", (F.col("n") <= PARTS * tau).alias("last")), "refined-long-lists")
         short = index.join(long, "key", "left_anti")
-        own = _meet(short, short, tau)
+        own = _meet(short, short, tau, once=True)
         # segments of single characters: lines of an unmoved list differ in tau places at most, so one of them links all
         last = long.where("last")
         hubs = index.join(last, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
         moved = _meet(probe, index.join(long.where("not last"), "key", "left_anti"), tau)
-        found = written(own.union(hubs).union(moved).distinct(), "template-pairs")
+        found = written(own.union(hubs).union(moved).distinct(), "refined-pairs")
         pairs = found if pairs is None else pairs.union(found)
         again = long.where("not last").select("key")
         if again.isEmpty():
             return pairs
         # only what may differ is looked at again; what is equal between is cut short
         _, differ, _ = _spots(F.col("x"), F.col("n"), F.col("t"), tau)
-        left = index.join(again, "key").union(probe.join(again, "key")).select(F.col("key").alias("list"), "id", "counts", F.concat_ws(CUT_OUT, *differ).alias("x"))
-        left = written(left.withColumn("n", F.char_length("x")).distinct(), "template-rests")
+        left = ways[0].join(again, "key").union(ways[1].join(again, "key")).select(F.col("key").alias("list"), "id", "counts", F.concat_ws(_cut_out(tau), *differ).alias("x"))
+        left = written(left.withColumn("n", F.char_length("x")).distinct(), "refined-rests")
 
 
 # ---------------------------------------------------------------- the operator
@@ -282,13 +267,13 @@ def candidates(lines: DataFrame, tau: int, long_list: int) -> DataFrame:
 
     Keys are made where the lines are read; what is shuffled to make copies one are keys, not texts."""
     n, line = F.col("n"), F.col("line")
-    keyed = lines.select("id", index_keys(line, n, tau + 1, 1).alias("index"), probe_keys(line, n, tau, tau + 1, 1).alias("probe"))
+    keyed = lines.select("id", index_keys(line, n, tau + 1).alias("index"), probe_keys(line, n, tau, tau + 1).alias("probe"))
     once = written(keyed.groupBy("id").agg(F.first("index").alias("index"), F.first("probe").alias("probe")), "line-keys")
     index, probe = once.select("id", F.explode("index").alias("key")), once.select("id", F.explode("probe").alias("key"))
-    crowded = small(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > long_list).select("key"), "crowded-segments")
+    crowded = small(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(1, long_list // CROWDED)).select("key"), "crowded-segments")
     if crowded.isEmpty():
         return probe.select(F.col("id").alias("a"), "key").join(index.select(F.col("id").alias("b"), "key"), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    # lines of crowded segments meet again by two segments of one more, and only there; here they meet the others
+    # lines of crowded segments meet each other by what is equal outside of tau segments, and only so; here they meet the others
     again = small(index.join(crowded, "key", "left_semi").select("id").union(probe.join(crowded, "key", "left_semi").select("id")).distinct(), "crowded-lines")
     marked = once.join(again.withColumn("met", F.lit(True)), "id", "left").withColumn("met", F.coalesce("met", F.lit(False)))
     a = marked.select(F.col("id").alias("a"), F.col("met").alias("met_a"), F.explode("probe").alias("key"))
@@ -296,15 +281,7 @@ def candidates(lines: DataFrame, tau: int, long_list: int) -> DataFrame:
     met = a.join(b, (a.key == b.key) & (F.col("a") != F.col("b")) & ~(F.col("met_a") & F.col("met_b")))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     few = written(lines.join(again, "id", "left_semi").dropDuplicates(["id"]).select("id", "line", "n", letter_counts(line).alias("counts")), "crowded-texts")
-    fine_probe = written(few.select("id", "counts", F.explode(probe_keys(line, n, tau, tau + 2, 2)).alias("key")), "crowded-probes")
-    fine_index = written(few.select("id", "counts", F.explode(index_keys(line, n, tau + 2, 2)).alias("key")), "crowded-index")
-    template = TEMPLATE * long_list
-    lists = small(fine_index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > template).select("key"), "template-keys")
-    pairs = pairs.union(_meet(fine_probe, fine_index.join(lists, "key", "left_anti"), tau))
-    if not lists.isEmpty():
-        members = fine_index.join(lists, "key").union(fine_probe.join(lists, "key")).select(F.col("key").alias("list"), "id").distinct()
-        pairs = pairs.union(refined(members.join(few, "id").select("list", "id", "line", "counts"), tau, template))
-    return pairs.distinct()
+    return pairs.union(refined(few, tau, TEMPLATE * long_list)).distinct()
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 24, long_list: int = 64) -> tuple[DataFrame, DataFrame]:
